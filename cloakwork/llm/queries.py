@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, simhash
 
 QUERIES = {
+    "op3_simhash_near_dedup": simhash.query,
     "op8_language_id": langid.query,
 }
 
