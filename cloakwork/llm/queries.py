@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, simhash
+from . import langid, mixing, simhash
 
 QUERIES = {
+    "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op8_language_id": langid.query,
 }
