@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash
+from . import langid, mixing, secretscan, simhash
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op4_secret_scan": secretscan.query,
     "op8_language_id": langid.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": secretscan.oracle(),
+}
