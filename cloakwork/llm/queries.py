@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secretscan, simhash
+from . import kdsearch, langid, mixing, secretscan, simhash
 
 QUERIES = {
+    "op1_kdtree_top_k": kdsearch.query,
     "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_secret_scan": secretscan.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_kdtree_top_k": kdsearch.ORACLE,
     "op4_secret_scan": secretscan.oracle(),
 }
