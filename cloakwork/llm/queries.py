@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kdsearch, langid, mixing, secretscan, simhash
+from . import kdsearch, langid, mixing, secretscan, simhash, vectordedup
 
 QUERIES = {
     "op1_kdtree_top_k": kdsearch.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_secret_scan": secretscan.query,
     "op8_language_id": langid.query,
+    "op9_embedding_near_dedup": vectordedup.query,
 }
 
 ORACLES: dict[str, str] = {
