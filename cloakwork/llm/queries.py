@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import kdsearch, langid, mixing, secretscan, simhash, vectordedup
+from . import kdsearch, langid, mixing, secretscan, simhash, tokenfile, vectordedup
 
 QUERIES = {
     "op1_kdtree_top_k": kdsearch.query,
     "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_secret_scan": secretscan.query,
+    "op5_token_files": tokenfile.query,
     "op8_language_id": langid.query,
     "op9_embedding_near_dedup": vectordedup.query,
 }
