@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kdsearch, langid, mixing, secretscan, simhash, tokenfile, vectordedup
+from . import kdsearch, langid, mixing, pieces, secretscan, simhash, tokenfile, vectordedup
 
 QUERIES = {
     "op1_kdtree_top_k": kdsearch.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": tokenfile.query,
     "op8_language_id": langid.query,
     "op9_embedding_near_dedup": vectordedup.query,
+    "op10_sentencepiece": pieces.query,
 }
 
 ORACLES: dict[str, str] = {
