@@ -213,3 +213,16 @@ def simhash_groups(docs: DataFrame, spark: SparkSession, radius: int = 4, shingl
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"), spark)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest doc_id; five-word shingles.
+
+    Of rows that repeat a kept doc_id one stays; rows without an id stay if no row of their group has one.
+    """
+    found = simhash_groups(docs, spark, shingle=5)
+    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).groupBy("_id").count(), spark)
+    once = kept.where("count > 1").limit(1).count() == 0
+    rest = docs.where("doc_id is null")
+    named = docs.join(kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return (named if once else named.dropDuplicates(["doc_id"])).unionByName(rest.dropDuplicates(["text"]))
