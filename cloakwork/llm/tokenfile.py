@@ -46,7 +46,18 @@ MAGIC = b"WVM1"
 #: Units kept per worker, of at most so many characters.
 KEPT_UNITS, KEPT_LENGTH = 300_000, 40
 
-_UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A word of Latin letters with its blank, if what follows is surely none; other runs; white space as the pre-tokenizer takes it.
+_UNITS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f]|$)| ?\S+|\s+(?!\S)|\s+")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level models write each byte as a visible character: printable ones as they are, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_VISIBLE = _visible_bytes()
 _UNSURE = re.compile(r"[\x1c-\x1f\x85᠎​-‍⁠﻿]")
 
 
@@ -67,7 +78,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        planes, zeros, order = [], [], ids
+        planes, zeros, order = [], [], ids.astype(np.uint16) if bits <= 16 else ids
         for k in reversed(range(bits)):
             one = (order >> k & 1).astype(bool)
             planes.append(np.packbits(one))
@@ -130,15 +141,14 @@ class WaveletMatrix:
         return at
 
     def sequence(self) -> np.ndarray:
-        """All ids: every place is followed down the planes at once."""
-        at = np.arange(self.n, dtype=np.int32)
-        out = np.zeros(self.n, np.uint32)
-        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+        """All ids, from the lowest bit up: each plane tells where the next one's zeros and ones came from."""
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bits = np.unpackbits(plane)[: self.n].astype(bool)
-            ones = np.cumsum(bits, dtype=np.int32)
-            goes = np.where(bits, ones + np.int32(zeros - 1), np.arange(self.n, dtype=np.int32) - ones)
-            out = out << 1 | bits[at]
-            at = goes[at]
+            up = np.empty_like(out)
+            up[~bits] = out[:zeros]
+            up[bits] = out[zeros:] | out.dtype.type(1 << k)
+            out = up
         return out
 
 
@@ -178,6 +188,8 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = json.loads(self.tokenizer.to_str())
+        self.byte_level = kind.get("normalizer") is None and (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"].get("add_prefix_space")
         #: Units met lately and before; what is met again moves to the first.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -191,6 +203,12 @@ class UnitEncoder:
             self.known, self.older = {}, self.known
         found = {u: self.older[u] for u in missing if u in self.older}
         fresh = list(missing.difference(found))
+        if self.byte_level:  # a word is one pre-token: the library's model encodes it alone
+            split = self.tokenizer.model.tokenize
+            words = [u for u in fresh if _WORD.fullmatch(u)]
+            for u in words:
+                found[u] = array("I", [t.id for t in split(u.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+            fresh = [u for u in fresh if u not in found]
         for lo in range(0, len(fresh), 8192):
             part = fresh[lo : lo + 8192]
             found.update(zip(part, self.whole(part), strict=True))
