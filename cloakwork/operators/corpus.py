@@ -77,4 +77,4 @@ def label_inventory(raw: DataFrame, key: str = "id") -> DataFrame:
 
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    return rows.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)

@@ -23,7 +23,7 @@ def context_snippet(text: Column, start: Column, end: Column, width: int = CONTE
 def items(docs: DataFrame, entities: str = "entities", created_at: Column | None = None) -> DataFrame:
     """The entities that go to review, an item each."""
     e = F.col("e")
-    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.explode(F.filter(entities, lambda x: x["decision"] == REVIEW)).alias("e"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.explode_outer(F.filter(entities, lambda x: x["decision"] == REVIEW)).alias("e")).where("e is not null")
     return rows.select(
         "document_id", e["type"].alias("entity_type"), e["text"].alias("text"), e["start"].alias("start"), e["end"].alias("end"), F.round(e["score"], 4).alias("score"), e["decision_reasons"].alias("reasons"),
         context_snippet(F.col("text"), e["start"], e["end"]).alias("context"), e["source"].alias("source"), F.lit(PENDING).alias("status"),

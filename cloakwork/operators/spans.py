@@ -15,7 +15,7 @@ FIELDS = {
     "rule": "string", "checksum": "string", "checksum_passed": "boolean", "context_keyword": "string", "dob_context": "string",
     "suppressed": "array<struct<type:string,start:int,end:int,score:double,source:string>>",
     "presidio_label": "string", "n_tokens": "int", "min_token_prob": "double", "mean_margin": "double",
-    "detectors": "array<string>", "n_agreeing": "int", "agreement": "boolean", "conflicting_types": "array<string>", "raw_scores": "map<string,double>",
+    "detectors": "array<string>", "n_agreeing": "int", "agreement": "boolean", "conflicting_types": "array<string>", "raw_scores": "array<struct<source:string,score:double>>",
     "raw_score": "double", "calibration_group": "string", "calibrated": "boolean", "group_calibrated": "boolean",
     "score_before_repeat_propagation": "double", "decision": "string", "decision_reasons": "array<string>", "found_by": "string",
 }
@@ -44,8 +44,7 @@ def normalize(text: Column, entities: Column) -> Column:
         start, end = F.greatest(e["start"], F.lit(0)), F.least(e["end"], F.length(text))
         line = F.instr(slice_text(text, start, end), F.lit("\n"))
         end = F.when((line > 0) & ~e["type"].isin(*MULTILINE), start + line - 1).otherwise(end)
-        t = trimmed(text, start, end)
-        return e.withField("start", t["start"]).withField("end", t["end"]).withField("text", slice_text(text, t["start"], t["end"]))
+        return let(trimmed(text, start, end), lambda t: e.withField("start", t["start"]).withField("end", t["end"]).withField("text", slice_text(text, t["start"], t["end"])))
 
     return F.filter(F.transform(F.filter(entities, lambda e: F.least(e["end"], F.length(text)) > F.greatest(e["start"], F.lit(0))), one), lambda e: e["end"] > e["start"])
 
@@ -54,10 +53,15 @@ def _brief(e: Column) -> Column:
     return F.struct(e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"), F.round(e["score"], 4).alias("score"), e["source"].alias("source"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def by(entities: Column, *keys) -> Column:
-    """Sorted by keys, each a function of the entity; entities themselves needn't be orderable."""
-    keyed = F.transform(entities, lambda e, i: F.struct(*[k(e).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda k: F.get(entities, k["i"]))
+    """Sorted by keys, each a function of the entity, then by place."""
+    keyed = F.transform(entities, lambda e, i: F.struct(*[k(e).alias(f"k{n}") for n, k in enumerate(keys)], i.alias("i"), e.alias("e")))
+    return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
 
 def strongest_first(entities: Column) -> Column:
@@ -72,9 +76,11 @@ def resolve(entities: Column) -> Column:
     none = F.array().cast(f"array<{ENTITY}>")
 
     def step(kept, e):
-        clash = F.array_position(F.transform(kept, lambda k: overlaps(k, e)), F.lit(True))
-        told = F.transform(kept, lambda k, i: F.when(i + 1 == clash, k.withField("suppressed", F.concat(F.coalesce(k["suppressed"], F.array().cast(FIELDS["suppressed"])), F.array(_brief(e))))).otherwise(k))
-        return F.when(clash > 0, told).otherwise(F.concat(kept, F.array(e)))
+        def tell(clash):
+            told = F.transform(kept, lambda k, i: F.when(i + 1 == clash, k.withField("suppressed", F.concat(F.coalesce(k["suppressed"], F.array().cast(FIELDS["suppressed"])), F.array(_brief(e))))).otherwise(k))
+            return F.when(clash > 0, told).otherwise(F.concat(kept, F.array(e)))
+
+        return let(F.array_position(F.transform(kept, lambda k: overlaps(k, e)), F.lit(True)), tell)
 
     return by(F.aggregate(strongest_first(entities), none, step), lambda e: e["start"])
 
