@@ -31,13 +31,16 @@ def luhn(value: Column) -> Column:
 def iban(value: Column) -> Column:
     """ISO 13616: the rotated text as a number leaves 1 modulo 97; taken character by character."""
     v = _bare(value)
-    turned = F.split(F.concat(F.substring(v, 5, 34), F.substring(v, 1, 4)), "")
 
     def step(acc, c):
         n = F.ascii(c)
         return F.when(c == "", acc).when(n >= 65, (acc * 100 + n - 55) % 97).otherwise((acc * 10 + n - 48) % 97)
 
-    return v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$") & (F.aggregate(turned, F.lit(0), step) == 1)
+    def rest(x):
+        turned = F.split(F.concat(F.substring(x, 5, 34), F.substring(x, 1, 4)), "")
+        return F.when(x.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$"), F.aggregate(turned, F.lit(0), step) == 1).otherwise(F.lit(False))
+
+    return F.get(F.transform(F.array(v), rest), F.lit(0))
 
 
 def dni(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.findall import find_all, slice_text
-from .spans import ENTITY, entity, normalize, resolve
+from .spans import ENTITY, entity, let, normalize, resolve
 
 ANY_CASE, AS_IS = "(?iuU)", "(?U)"
 BOTH = ("es", "en")
@@ -81,27 +81,32 @@ def context_hit(text: Column, start: Column, end: Column, words: tuple[str, ...]
     if same_line:
         before, after = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
     near = F.lower(F.concat(before, slice_text(text, start, end), after))
-    return F.coalesce(*[F.when(F.contains(near, F.lit(w)), F.lit(w)) for w in words])
+    return let(near, lambda n: F.coalesce(*[F.when(F.contains(n, F.lit(w)), F.lit(w)) for w in words]))
 
 
 def scan(text: Column, rule: Rule, number: int, width: int = WINDOW) -> Column:
     """The rule's findings in a text, scored, not yet trimmed."""
 
+    def judged(m: Column) -> Column:
+        """What is known about a match, each computed once."""
+        passed = checks.CHECKS[rule.check](m["value"]) if rule.check else F.lit(None).cast("boolean")
+        hit = context_hit(text, m["start"], m["end"], rule.context, width=width) if rule.context else F.lit(None).cast("string")
+        dob = context_hit(text, m["start"], m["end"], BIRTH, same_line=True, width=width) if rule.kind == "DATE_TIME" else F.lit(None).cast("string")
+        return F.struct(passed.alias("passed"), hit.alias("hit"), dob.alias("dob"))
+
     def scored(m: Column) -> Column:
-        score, passed, dob = F.lit(rule.score), F.lit(None).cast("boolean"), F.lit(None).cast("string")
+        return let(judged(m), lambda q: found_entity(m, q))
+
+    def found_entity(m: Column, q: Column) -> Column:
+        score, kind = F.lit(rule.score), F.lit(rule.kind)
         if rule.check:
-            passed = checks.CHECKS[rule.check](m["value"])
-            score = F.when(passed, F.least(F.lit(0.99), score + 0.11)).otherwise(F.lit(rule.invalid if rule.invalid is not None else 0.0))
-        hit = F.lit(None).cast("string")
+            score = F.when(q["passed"], F.least(F.lit(0.99), score + 0.11)).otherwise(F.lit(rule.invalid if rule.invalid is not None else 0.0))
         if rule.context:
-            hit = context_hit(text, m["start"], m["end"], rule.context, width=width)
-            score = F.when(hit.isNotNull(), F.least(F.lit(0.99), score + 0.06)).otherwise(F.greatest(F.lit(0.35), score - 0.12))
-        kind = F.lit(rule.kind)
+            score = F.when(q["hit"].isNotNull(), F.least(F.lit(0.99), score + 0.06)).otherwise(F.greatest(F.lit(0.35), score - 0.12))
         if rule.kind == "DATE_TIME":
-            dob = context_hit(text, m["start"], m["end"], BIRTH, same_line=True, width=width)
-            kind = F.when(dob.isNotNull(), F.lit("DATE_OF_BIRTH")).otherwise(kind)
-            score = F.when(dob.isNotNull(), F.least(F.lit(0.99), score + 0.05)).otherwise(score)
-        return entity(ord=F.lit(number), start=m["start"], end=m["end"], type=kind, score=score, source=F.lit("rules"), text=m["value"], rule=F.lit(rule.name), checksum=F.lit(rule.check).cast("string"), checksum_passed=passed, context_keyword=hit, dob_context=dob)
+            kind = F.when(q["dob"].isNotNull(), F.lit("DATE_OF_BIRTH")).otherwise(kind)
+            score = F.when(q["dob"].isNotNull(), F.least(F.lit(0.99), score + 0.05)).otherwise(score)
+        return entity(ord=F.lit(number), start=m["start"], end=m["end"], type=kind, score=score, source=F.lit("rules"), text=m["value"], rule=F.lit(rule.name), checksum=F.lit(rule.check).cast("string"), checksum_passed=q["passed"], context_keyword=q["hit"], dob_context=q["dob"])
 
     found = find_all(text, rule.head, rule.body, rule.tail, rule.flags)
     if rule.guard is not None:
