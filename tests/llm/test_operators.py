@@ -35,6 +35,36 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
+def test_similar_groups(spark):
+    words = [[f"w{i}_{j}" for j in range(200)] for i in range(8)]
+    texts = {10 * i + 1: " ".join(w) for i, w in enumerate(words)}
+    texts |= {10 * i + 2: " ".join(w[:100] + ["CHANGED"] + w[101:]) for i, w in enumerate(words)}  # similarity 0.95
+    texts |= {10 * i + 3: texts[10 * i + 1].upper() for i in range(8)}
+    texts |= {10 * i + 4: " ".join(w[:90] + [f"x{i}_{j}" for j in range(110)]) for i, w in enumerate(words)}  # 0.28
+    rows = [*texts.items(), (200, None), (201, ""), (202, " \n"), (None, texts[1]), (203, "one"), (204, "one")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, keys string")
+    got = dict(simhash.similar_groups(docs, spark).collect())
+    for i in range(8):
+        assert [got[10 * i + k] for k in (1, 2, 3, 4)] == [10 * i + 1, 10 * i + 1, 10 * i + 1, 10 * i + 4]
+    assert (got[201], got[202], got[200], got[204], got[None]) == (200, 200, 200, 203, 1)
+    assert simhash.similar_groups(docs.limit(0), spark).count() == 0
+
+
+def test_bucket_edges_reach_what_pairs_reach():
+    rng = np.random.default_rng(5)
+    for n, width, radius in ((20, 1, 4), (200, 1, 4), (20, 4, 48), (300, 4, 48)):
+        base = rng.integers(0, 1 << 63, (6, width), np.uint64)
+        fps = base[rng.integers(0, 6, n)].copy()
+        fps[:, 0] ^= np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, radius - 2), np.uint64), axis=1)
+        near = [[int.from_bytes((a ^ b).tobytes(), "little").bit_count() <= radius for b in fps] for a in fps]
+        want, got = list(range(n)), list(range(n))
+        for root, pairs in ((want, [(i, j) for i in range(n) for j in range(n) if near[i][j]]), (got, simhash.bucket_edges(fps, radius))):
+            for a, b in pairs:
+                x, y = root[a], root[b]
+                root[:] = [min(x, y) if r in (x, y) else r for r in root]
+        assert got == want
+
+
 def test_simhash(spark, docs, rows):
     got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.simhash_groups(docs, spark).collect()}
 
