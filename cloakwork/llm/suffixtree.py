@@ -2,14 +2,17 @@
 
 Both learn from the training texts, whole, with A-Z in lower case and words joined by one blank.
 
-The tree's symbols are SYMBOLS classes of bytes and an end. Counts of every five symbols in a row
-are summed in each task, then over the corpus; shorter contexts' counts are sums of those. A context
-of one to DEPTH symbols is kept if its next symbols diverge from those of its suffix: the count
-times the Kullback-Leibler divergence, in nats, exceeds GAIN. A kept context's distribution is smoothed by that
-of its longest kept suffix, the root's by one for each symbol. A text's score follows the longest
-kept suffix of what came before each symbol and adds the byte's share of its class. At most
-MAX_STATES contexts are kept - the test becomes stricter if more would pass - so the model has a
-fixed size while its counts grow with the corpus.
+The tree's symbols are SYMBOLS classes of bytes and an end. Counts of every depth + 1 symbols in a
+row are summed in each task, then over the corpus; shorter contexts' counts are sums of those. The
+depth grows with the training texts (`depth_for`). A context of one to depth symbols is kept if its
+next symbols diverge from those of its suffix: the count times the Kullback-Leibler divergence, in
+nats, exceeds GAIN. A kept context's distribution is smoothed by that of its longest kept suffix,
+the root's by one for each symbol. A text's score follows the longest kept suffix of what came
+before each symbol and adds the byte's share of its class.
+
+All contexts that pass are kept: the tree is a written table of probabilities, made level by level,
+and is never in one place. Texts are dealt into chunks of CHUNK bytes; a chunk's distinct symbol
+runs meet the table in a join and come back to the chunk's texts.
 
 The base score adds up log10((c + 1) / (N + V + 1)) over a text's words and one end. Words at least
 as frequent as a level that HOT_WORDS or fewer reach are broadcast; all others meet their counts in
@@ -28,15 +31,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, table
 from .langid import held_out
 
 SYMBOLS, BITS, DEPTH = 64, 6, 4
-GAIN, LEAST_COUNT, SMOOTH, MAX_STATES = 24.0, 16, 6.0, 20_000
+GAIN, LEAST_COUNT, SMOOTH = 24.0, 16, 6.0
+#: Bytes of the texts that share their look-ups in the tree.
+CHUNK = 16 << 20
 HOT_WORDS = 1 << 17
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
@@ -66,33 +73,65 @@ def canonical(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all symbols of the texts in turn: the five-symbol code that ends there, and the bytes; ends of the texts."""
+def depth_for(symbols: int) -> int:
+    """The depth d at which 32 ** d contexts could each be met LEAST_COUNT times; DEPTH at least.
+
+    Codes are longs and hold nine symbols and the next one, which takes 5e14 symbols to fill.
+    """
+    return min(9, max(DEPTH, int(math.log(max(1.0, symbols / LEAST_COUNT), 32))))
+
+
+def _stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all symbols of the texts in turn: the code of depth + 1 symbols that ends there, and the bytes; ends of the texts."""
     joined = [b" ".join(words) for words in texts]
-    gap = bytes(DEPTH + 1)  # an end, and the empty past of the next text
-    data = np.frombuffer(bytes(DEPTH) + gap[:-1].join(t + b"\0" for t in joined), np.uint8)
+    gap = bytes(depth + 1)  # an end, and the empty past of the next text
+    data = np.frombuffer(bytes(depth) + gap[:-1].join(t + b"\0" for t in joined), np.uint8)
     lens = np.array([len(t) + 1 for t in joined])
-    starts = DEPTH + np.cumsum(lens + DEPTH) - lens - DEPTH
+    starts = depth + np.cumsum(lens + depth) - lens - depth
     sym = CLASS[data]
     sym[data == 0] = 0  # a text's own NUL is an end to the tree
-    sym = sym.astype(np.int32)
-    code = np.zeros(len(sym) - DEPTH, np.int32)
-    for k in range(DEPTH + 1):
-        code = code << BITS | sym[k : len(sym) - DEPTH + k]
+    sym = sym.astype(np.int64)
+    code = np.zeros(len(sym) - depth, np.int64)
+    for k in range(depth + 1):
+        code = code << BITS | sym[k : len(sym) - depth + k]
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
-    return code[at - DEPTH], data[at], np.cumsum(lens)
+    return code[at - depth], data[at], np.cumsum(lens)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held_out, text) -> the same with the number of a chunk of CHUNK bytes of text."""
+    number, size = TaskContext.get().partitionId() << 32, 0
+    for batch in slices(batches, "text", CHUNK // 8):
+        if size >= CHUNK:
+            number, size = number + 1, 0
+        size += batch.column(2).nbytes
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, number))], ["doc_id", "held_out", "text", "chunk"])
+
 
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begins and ends of the rows that are alike in all columns."""
+    cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> rows (word or null, gram or null, n); gram -1 - b counts byte b. The word of the end is empty."""
+
+def _counter(depth: int):
+    return lambda batches: _count(batches, depth)
+
+
+def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Texts by chunk -> rows (word or null, gram or null, chunk, n), n counting the training texts alone.
+
+    Gram -1 - b counts byte b; grams of held-out texts alone have n 0. The word of the end is empty.
+    """
     words: Counter[bytes] = Counter()
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     seen = np.zeros(256, np.int64)
+    now = None
 
     def rows(kind: str, keys, n) -> pa.RecordBatch:
         a = pa.array(keys, pa.string()) if kind == "word" else pa.nulls(len(n), pa.string())
         b = pa.array(keys, pa.int64()) if kind == "gram" else pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([a, b, pa.array(n, pa.int64())], ["word", "gram", "n"])
+        return pa.RecordBatch.from_arrays([a, b, pa.array([now] * len(n), pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "chunk", "n"])
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([g for g, _ in grams])
@@ -102,15 +141,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return keys[first], np.add.reduceat(n, first)
 
     for batch in slices(batches, "text", 4 << 20):
-        texts = [canonical(t) for t in batch.column(0).to_pylist()]
-        for t in texts:
-            words.update(t)
-        words[b""] += len(texts)
-        code, data, _ = _stream(texts)
-        grams.append(np.unique(code, return_counts=True))
-        seen += np.bincount(data, minlength=256)
-        if len(grams) >= 8:
-            grams = [merged()]
+        chunk, held = np.asarray(batch.column(2)), np.asarray(batch.column(0))
+        for lo, hi in _runs(chunk):
+            if now != chunk[lo] and grams:
+                yield rows("gram", *merged())
+                grams = []
+            now = int(chunk[lo])
+            texts = [canonical(t) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            for learn in (True, False):
+                chosen = [t for t, h in zip(texts, held[lo:hi].tolist(), strict=True) if h != learn]
+                if not chosen:
+                    continue
+                code, data, _ = _stream(chosen, depth)
+                found, n = np.unique(code, return_counts=True)
+                grams.append((found, n * learn))
+                if learn:
+                    for t in chosen:
+                        words.update(t)
+                    words[b""] += len(chosen)
+                    seen += np.bincount(data, minlength=256)
+            if len(grams) >= 8:
+                grams = [merged()]
         if len(words) > HELD_WORDS:
             yield rows("word", [w.decode() for w in words], list(words.values()))
             words = Counter()
@@ -118,33 +169,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows("word", [w.decode() for w in words], list(words.values()))
     if grams:
         yield rows("gram", *merged())
+    if seen.any():
         yield rows("gram", -1 - np.arange(256), seen)
 
 
-@dataclass
-class SuffixTree:
-    """Kept contexts by depth and code, their next symbols' log10 probabilities (row 0: the root), and the bytes'."""
-
-    depth: np.ndarray
-    context: np.ndarray
-    logp: np.ndarray
-    byte_logp: np.ndarray
-
-    def states(self) -> np.ndarray:
-        """The longest kept suffix of each possible past of DEPTH symbols."""
-        out = np.zeros(1, np.uint16)
-        for d in range(1, DEPTH + 1):
-            out = np.tile(out, SYMBOLS)
-            at = np.flatnonzero(self.depth == d)
-            out[self.context[at]] = at + 1
-        return out
-
-    def score(self, texts: list[list[bytes]], states: np.ndarray) -> np.ndarray:
-        code, data, ends = _stream(texts)
-        each = self.logp[states[code >> BITS], code & (SYMBOLS - 1)].astype(np.float64) + self.byte_logp[data]
-        return np.add.reduceat(each, np.concatenate(([0], ends[:-1])))
-
-
 def _level(table_: DataFrame, value: Column, most: int) -> float:
     """The least power of two (of steps of a quarter for small ones) that `most` or fewer rows' values reach."""
     step = F.floor(F.log2(value) * 4)
@@ -158,57 +186,46 @@ def _level(table_: DataFrame, value: Column, most: int) -> float:
     return level
 
 
-def grow(grams: DataFrame, spark: SparkSession) -> SuffixTree:
-    """(gram, n) -> the tree. Divergence tests run over the corpus's contexts; the kept ones come to the driver."""
-    seen = {-1 - r[0]: r[1] for r in grams.where("gram < 0").collect()}
-    rows = grams.where("gram >= 0")
-    levels, kept = [], []
-    for d in range(DEPTH, -1, -1):
+def grow(grams: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
+    """(gram, n) of depth + 1 symbols -> (gram, logp, state): log10 of the last symbol's probability after
+    the others, and the depth of the kept context that gives it. A gram with n 0 is looked up alone.
+
+    A context's rows are SYMBOLS at most, and so are those of a suffix: neither has a frequent key.
+    """
+    levels = [materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), spark)]
+    for d in range(depth - 1, -1, -1):
         code = F.col("gram").bitwiseAND((1 << BITS * (d + 1)) - 1)
-        level = rows.groupBy(F.shiftright(code, BITS).alias("context"), code.bitwiseAND(SYMBOLS - 1).alias("x")).agg(F.sum("n").alias("n"))
-        levels.append(materialize(level, spark))
+        levels.append(materialize(levels[-1].groupBy(code.alias("gram")).agg(F.sum("n").alias("n")), spark))
     levels.reverse()
-    for d in range(1, DEPTH + 1):
-        up = levels[d - 1]
-        up_total = up.groupBy("context").agg(F.sum("n").alias("up_total"))
-        up = up.join(up_total, "context").select(F.col("context").alias("up"), "x", (F.col("n") / F.col("up_total")).alias("p"))
-        own = levels[d].withColumn("up", F.col("context").bitwiseAND((1 << BITS * (d - 1)) - 1)).join(up, ["up", "x"])
-        # sum n log(n / N / p) = sum n log(n / p) - N log N
-        test = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("s"))
-        test = test.withColumn("gain", F.col("s") - F.col("total") * F.log(F.col("total").cast("double")))
-        kept.append(test.where((F.col("gain") > GAIN) & (F.col("total") >= LEAST_COUNT)).select(F.lit(d).alias("depth"), "context", "gain"))
-    tests = kept[0]
-    for k in kept[1:]:
-        tests = tests.unionByName(k)
-    tests = materialize(tests, spark)
-    least = _level(tests, F.col("gain"), MAX_STATES)
-    chosen = tests.where(F.col("gain") >= least)
-    counts = None
-    for d in range(1, DEPTH + 1):
-        part = levels[d].join(chosen.where(F.col("depth") == d), "context").groupBy("depth", "context").agg(F.collect_list(F.struct("x", "n")).alias("next"))
-        counts = part if counts is None else counts.unionByName(part)
-    states = sorted(counts.collect(), key=lambda r: (r["depth"], r["context"]))
-    root = np.ones(SYMBOLS)
-    for r in levels[0].collect():
-        root[r["x"]] += r["n"]
-    for x in levels:
-        discard(x, spark)
-    probs, found = [root / root.sum()], {(0, 0): 0}
-    for number, r in enumerate(states, 1):
-        d, context = r["depth"] - 1, r["context"]
-        while (d, context & ((1 << BITS * d) - 1)) not in found:
-            d -= 1
-        n = np.zeros(SYMBOLS)
-        for x, k in r["next"]:
-            n[x] = k
-        probs.append((n + SMOOTH * probs[found[d, context & ((1 << BITS * d) - 1)]]) / (n.sum() + SMOOTH))
-        found[r["depth"], context] = number
+    own = Window.partitionBy(F.shiftright("gram", BITS))
+    up = None
+    for d, level in enumerate(levels):
+        if up is None:
+            out = level.withColumn("total", F.sum("n").over(own)).withColumn("p", (F.col("n") + 1.0) / (F.col("total") + SYMBOLS)).withColumn("state", F.lit(0))
+        else:
+            shorter = F.col("gram").bitwiseAND((1 << BITS * d) - 1)
+            out = level.withColumn("up", shorter).join(up.select(F.col("gram").alias("up"), "share", F.col("p").alias("up_p"), F.col("state").alias("up_state")), "up")
+            out = out.withColumn("total", F.sum("n").over(own))
+            ratio = F.try_divide(F.col("n").cast("double"), F.col("total") * F.col("share"))
+            out = out.withColumn("gain", F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(ratio))).over(own))
+            kept = F.coalesce((F.col("gain") > GAIN) & (F.col("total") >= LEAST_COUNT), F.lit(False))
+            out = out.withColumn("p", F.when(kept, (F.col("n") + SMOOTH * F.col("up_p")) / (F.col("total") + SMOOTH)).otherwise(F.col("up_p"))).withColumn("state", F.when(kept, d).otherwise(F.col("up_state")))
+        made = materialize(out.select("gram", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("share"), "p", "state"), spark)
+        for x in (level, up):
+            discard(x, spark)
+        up = made
+    out = up.select("gram", F.log10("p").alias("logp"), "state")
+    out._cloakwork_path = up._cloakwork_path
+    return out
+
+
+def byte_shares(seen: dict[int, int]) -> np.ndarray:
+    """log10 of each byte's share of its class."""
     bytes_ = np.array([seen.get(b, 0) + 1.0 for b in range(256)])
     bytes_[0] = 1.0
     groups = CLASS.copy()
     groups[0] = 0
-    share = bytes_ / np.bincount(groups, bytes_, SYMBOLS)[groups]
-    return SuffixTree(np.array([r["depth"] for r in states], np.int8), np.array([r["context"] for r in states], np.int64), np.log10(np.array(probs)).astype(np.float32), np.log10(share))
+    return np.log10(bytes_ / np.bincount(groups, bytes_, SYMBOLS)[groups])
 
 
 @dataclass
@@ -223,24 +240,56 @@ class WordCounts:
 
 def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_tokens, n_known, train_tokens, base_score, score) and whether it is held out."""
-    learned = docs.where(training).select("text").mapInArrow(_count, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-    learned = materialize(learned, spark)
-    counts = learned.where("word is not null").select("word", "n")
+    depth = depth_for(docs.where(training).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", (~training).alias("held_out"), "text").mapInArrow(_chunks, f"doc_id {kind}, held_out boolean, text string, chunk long")
+    texts = materialize(texts, spark)
+    learned = materialize(texts.select("held_out", "text", "chunk").mapInArrow(_counter(depth), "word string, gram long, chunk long, n long"), spark)
+    counts = materialize(learned.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), spark)
     tokens, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     level = _level(counts, F.col("n"), HOT_WORDS)
     hot = {r[0]: r[1] for r in counts.where(F.col("n") >= level).collect()}  # HOT_WORDS at most
-    tree = grow(learned.where("gram is not null").select("gram", "n"), spark)
+    seen = {-1 - r[0]: r[1] for r in learned.where("gram < 0").groupBy("gram").agg(F.sum("n")).collect()}
+    grams = learned.where("gram >= 0")
+    tree = grow(grams.select("gram", "n"), spark, depth)
     model = WordCounts(hot, tokens or 0, distinct or 0)
-    shared = spark.sparkContext.broadcast((model, tree))
+    shared = spark.sparkContext.broadcast((model, byte_shares(seen)))
+    found = grams.select("gram", "chunk").join(tree, "gram").select("chunk", "gram", F.col("logp").cast("float").alias("logp"))
+    dealt = texts.withColumn("is_text", F.lit(True)).unionByName(found.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
+    dealt = dealt.select("doc_id", "held_out", "text", "chunk", "is_text", "gram", "logp").repartition("chunk").sortWithinPartitions("chunk", "is_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tree = shared.value
-        states = tree.states()
+        model, byte_logp = shared.value
         known = {w.encode(): (n, model.log(n)) for w, n in model.hot.items()}
         end_n, end_log = known.get(b"", (0, model.log(0)))
-        for batch in slices(batches, "text", 2 << 20):
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        index = logp = None
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            """The texts, once `index` and `logp` hold the look-ups of their chunk."""
+            nonlocal parts, index, logp
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                is_text = np.asarray(batch.column(4))
+                for lo, hi in _runs(np.asarray(batch.column(3)), is_text):
+                    part = batch.slice(lo, hi - lo)
+                    if not is_text[lo]:
+                        parts.append((np.asarray(part.column(5)), np.asarray(part.column(6))))
+                        continue
+                    if parts:  # a chunk's look-ups come before its texts
+                        keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
+                        index, logp = pd.Index(keys), np.concatenate([v for _, v in parts])[first].astype(np.float64)
+                        parts = []
+                    yield from slices(iter([part]), "text", 2 << 20)
+
+        for batch in pieces():
             texts = [canonical(t) for t in batch.column(2).to_pylist()]
-            scores = tree.score(texts, states)
+            code, data, ends = _stream(texts, depth)
+            at = index.get_indexer(code)
+            if (at < 0).any():
+                raise AssertionError("a symbol run without its look-up")
+            scores = np.add.reduceat(logp[at] + byte_logp[data], np.concatenate(([0], ends[:-1])))
             base, sure, rare, times, cuts = [], [], [], [], [0]
             for words in texts:
                 total, n = end_log, int(end_n > 0)
@@ -254,15 +303,16 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
                 base.append(total)
                 sure.append(n)
                 cuts.append(len(rare))
-            ends = pa.array(cuts, pa.int32())
+            cuts = pa.array(cuts, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(ends, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32()))],
                 ["doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (~training).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<string>, times array<int>")
+    rows = dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<string>, times array<int>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), spark)
+    for x in (texts, learned, tree):
+        discard(x, spark)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(counts.where(F.col("n") < level), "word", "left")
     unit = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))

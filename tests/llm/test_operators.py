@@ -203,6 +203,33 @@ def test_language_model(spark, docs, rows):
         assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and got[i].score < 0
 
 
+def test_suffix_tree_keeps_all_contexts(spark):
+    """More contexts diverge than any fixed number that the tree once held; all must be in it."""
+    r = np.random.default_rng(3)
+    suffixes = r.choice(np.arange(64 * 64, 64**3), 600, replace=False)
+    contexts = (np.arange(1, 64)[:, None] * 64**3 + suffixes).ravel()
+    grams = {int(c) * 64 + int(x): 100 for c, x in zip(contexts, r.integers(1, 64, len(contexts)))}
+    got = {g.gram: (g.logp, g.state) for g in suffixtree.grow(spark.createDataFrame(list(grams.items()), "gram long, n long"), spark).collect()}
+    assert len(got) == len(contexts) and all(state == 4 for _, state in got.values())
+    count, total = Counter(), Counter()
+    for g, n in grams.items():
+        for d in range(5):
+            count[d, g % 64 ** (d + 1)] += n
+            total[d, g % 64 ** (d + 1) // 64] += n
+    gain = Counter()
+    for (d, g), n in count.items():
+        up = d - 1, g % 64**d
+        gain[d, g // 64] += n * math.log(n / total[d, g // 64] / (count[up] / total[d - 1, up[1] // 64])) if d else 0
+    for g in list(grams)[::500]:
+        p = (count[0, g % 64] + 1) / (total[0, 0] + 64)
+        for d in range(1, 5):
+            c = d, g % 64 ** (d + 1) // 64
+            if gain[c] > suffixtree.GAIN and total[c] >= suffixtree.LEAST_COUNT:
+                p = (count[d, g % 64 ** (d + 1)] + suffixtree.SMOOTH * p) / (total[c] + suffixtree.SMOOTH)
+        assert got[g][0] == pytest.approx(math.log10(p))
+    assert suffixtree.depth_for(10**6) == 4 < suffixtree.depth_for(10**9) < suffixtree.depth_for(10**12)
+
+
 def test_language_id(spark):
     en, es = ["the thing and that is with the other"] * 3, ["el perro de la casa que está aquí"] * 3
     rows = [(i, t, "en" if i < 30 else "es", None, 0) for i, t in enumerate(en * 10 + es * 10)] + [(100, None, "en", None, 0), (101, "12 34", "en", None, 0)]
