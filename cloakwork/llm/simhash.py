@@ -10,9 +10,9 @@ integers themselves, and leaves the block as soon as all in it exceed the radius
 links with leaves the block's open set, so a bucket gives one edge per fingerprint at most and
 never its pairs.
 
-`stage` links by similarity of five-word shingles, 0.8 or more, which is further apart than 64 bits and
-equal blocks can tell: its fingerprints have 256 bits, WIDE_RADIUS of which may differ, and its buckets
-are bands of minimum hashes of the shingles. The comparison in a bucket is the same.
+`stage` links by similarity of the sets of five-word shingles, SIMILAR or more. Texts of equal sets are one
+to begin with; the others meet in bands of minimum hashes, and there the sets themselves are compared.
+Only texts that share a band with another set are sent there. What a text links with leaves the bucket.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, and is
 linked like any other. Rows that repeat a doc_id are each returned, with the same component; a null
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, slices, table
+from .common import components, discard, materialize, slices, table
 
 BLOCKS, AGREE = 6, 2
 #: Fingerprints in a block of bit planes.
@@ -40,8 +40,8 @@ SLICE = 4096
 FEW = 24
 SEED = 42
 
-#: Similarity 0.8 is a cosine of 0.89, where 38.8 of 256 bits differ, give or take 5.7; at 0.5 it is 68.6 and 7.1.
-WORDS, WIDE_RADIUS = 4, 48
+#: Shared shingles over all shingles of a link.
+SIMILAR = 0.8
 #: A pair of similarity 0.8 shares one of the bands with probability 0.995.
 BANDS, BAND_ROWS = 18, 6
 
@@ -79,21 +79,59 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def wide_fingerprint(data: bytes, shingle: int = 5) -> tuple[np.ndarray, list[int]]:
-    """WORDS unsigned longs of majority bits, and the signed keys of the bands of minimum hashes."""
-    total, n = np.zeros((WORDS, 64), np.int64), 0
+def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    parts = [np.unique(h) for h in shingle_hashes(data, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
+    """Of a shingle set: 128 bits that tell it from others, and the keys of the bands of minimum hashes; all signed."""
     lowest = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for h in shingle_hashes(data, shingle, 2048):
-        n += len(h)
-        for i, odd in enumerate(_SPREAD):
-            x = (h ^ h >> np.uint64(31)) * odd
-            total[i] += _ones((x ^ x >> np.uint64(29)) * _SPREAD[i - 1])
-        lowest = np.minimum(lowest, (h[:, None] * _MINS).min(axis=0))
-    bands = lowest.reshape(BANDS, BAND_ROWS)
-    return np.packbits(total * 2 > n, axis=1).view(">u8")[:, 0].astype(np.uint64), [xxhash.xxh3_64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(bands)]
+    for lo in range(0, len(hashes), 2048):
+        lowest = np.minimum(lowest, (hashes[lo : lo + 2048, None] * _MINS).min(axis=0))
+    whole = xxhash.xxh3_128_digest(hashes.tobytes())
+    bands = [xxhash.xxh3_64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(lowest.reshape(BANDS, BAND_ROWS))]
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True), bands
 
 
-_SPREAD, _MINS = _odd(WORDS, 1), _odd(BANDS * BAND_ROWS, 2)
+_MINS = _odd(BANDS * BAND_ROWS, 2)
+
+
+def similar_edges(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (index, index) that join all sets of a bucket which links of SIMILAR or more reach.
+
+    A search like that of `bucket_edges`: the open sets' shingles are laid down with their owners in
+    one sorted array, which is made anew when half of the sets are gone.
+    """
+    lens = np.array([len(x) for x in sets])
+    open_ = np.ones(len(sets), bool)
+    edges: list[tuple[int, int]] = []
+    keys = owners = np.zeros(0, np.int64)
+    laid = len(sets) * 2
+
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        todo = [root]
+        while todo and (left := int(open_.sum())):
+            if left * 2 <= laid:
+                at = np.flatnonzero(open_)
+                keys, owners, laid = np.concatenate([sets[i] for i in at]), np.repeat(at, lens[at]), left
+                order = np.argsort(keys, kind="stable")
+                keys, owners = keys[order], owners[order]
+            one = todo.pop()
+            lo, hi = np.searchsorted(keys, sets[one]), np.searchsorted(keys, sets[one], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            shared = np.bincount(owners[at], minlength=len(sets))
+            # in whole numbers: 4 / 5 exactly is a link
+            found = np.flatnonzero(open_ & (shared * 10 >= round(SIMILAR * 10) * (lens + lens[one] - shared)))
+            open_[found] = False
+            todo += found.tolist()
+            edges += [(int(i), root) for i in found]
+    return edges
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -264,25 +302,70 @@ def simhash_groups(docs: DataFrame, spark: SparkSession, radius: int = 4, shingl
     return fps.join(groups(distinct, edges, spark, ["fp"]), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, spark: SparkSession, radius: int = WIDE_RADIUS, shingle: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, component_id), a row for each row: groups by similarity of shingles, 0.8 or more."""
-    columns = [f"w{i}" for i in range(WORDS)]
-    names = ["doc_id", *columns, "keys"]
+def _similar_links(sets: DataFrame) -> DataFrame:
+    """(key, node, hashes binary) -> edges (u, v) between nodes that meet in a bucket and are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            edges = similar_edges(held) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in edges], pa.int64()), pa.array([nodes[j] for _, j in edges], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for k, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    yield close()
+                    key, nodes, held = k, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(hashes, np.uint64))
+        yield close()
+
+    return sets.select("key", "node", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
+    """Written rows (row, doc_id, text) -> (row, doc_id, root, component_id): groups by similarity of shingles, SIMILAR or more.
+
+    root names a group; component_id, its smallest doc_id, is null if no row of the group has one.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [wide_fingerprint((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
-            words = np.stack([w for w, _ in found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(words.T)), pa.array([k for _, k in found], pa.list_(pa.int64()))], names)
+            found = [sketch(shingle_set((t or "").encode(), shingle)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["row", "doc_id", "k0", "k1", "keys"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in columns)}, keys array<long>")
-    fps = materialize(wide, spark)
-    # A group of equal fingerprints is named by its smallest id, or by a hash where it has none.
-    node = F.coalesce(F.col("low").cast("long"), F.xxhash64(*columns)) if kind in ("bigint", "int") else F.xxhash64(*columns)
-    distinct = materialize(fps.groupBy(*columns).agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys")).withColumn("node", node), spark)
-    edges = links(distinct.select(F.explode("keys").alias("key"), *columns, "node"), radius, columns)
-    return fps.join(groups(distinct, edges, spark, columns), columns).select("doc_id", "component_id")
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set((t or "").encode(), shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    fps = materialize(rows.select("row", "doc_id", "text").mapInArrow(sketched, f"row long, doc_id {kind}, k0 long, k1 long, keys array<long>"), spark)
+    distinct = materialize(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"), F.min("row").alias("node")), spark)
+    met = distinct.select(F.explode("keys").alias("key"), "node")
+    # Buckets of one are left out, and all but one of those with the same members.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    buckets = met.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
+    met = materialize(met.join(buckets.select("key"), "key"), spark)
+    sets = rows.join(met.select(F.col("node").alias("row")).distinct(), "row").select("row", "text").mapInArrow(shingled, "node long, hashes binary")
+    sets = materialize(sets, spark)
+    edges = _similar_links(met.join(sets, "node"))
+    found = components(spark, edges).withColumnRenamed("node", "_node")
+    for x in (met, sets):
+        discard(x, spark)
+    member = distinct.join(found, F.col("node") == F.col("_node"), "left").select("k0", "k1", "low", F.coalesce("root", "node").alias("root"))
+    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(member.join(low, "root").drop("low"), ["k0", "k1"]).select("row", "doc_id", "root", "component_id")
+
+
+def numbered(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs, written with a number for each row."""
+    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), spark)
+
+
+def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, component_id), a row for each row."""
+    return similar_rows(numbered(docs.select("doc_id", "text"), spark), spark, shingle).select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

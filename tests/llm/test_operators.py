@@ -50,6 +50,36 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(docs.limit(0), spark).count() == 0
 
 
+def test_similar_groups_verify_sets(spark):
+    """Short texts at exactly 0.8, sets that differ by repeats alone, and texts just below 0.8."""
+    short = {10 * i + k: " ".join(f"s{i}_{j}" for j in range(8 + k)) for i in range(1, 31) for k in (0, 1)}  # 4 of 5 shingles
+    base, line = [f"b{j}" for j in range(104)], [f"r{j}" for j in range(10)]
+    repeats = {1000: " ".join(base + line * 2), 1001: " ".join(base + line * 20)}  # equal sets
+    below = {2000 + 10 * i + k: " ".join(f"t{i}_{j}" for j in range(7 + k)) for i in range(30) for k in (0, 1)}  # 3 of 4
+    texts = short | repeats | below
+    got = dict(simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark).collect())
+    missed = [i for i in range(1, 31) if got[10 * i + 1] != 10 * i]
+    assert len(missed) <= 2  # the bands meet 0.995 of such pairs
+    assert got[1001] == 1000 and all(got[i] == i for i in below)
+
+
+def test_similar_edges_reach_what_pairs_reach():
+    r = np.random.default_rng(6)
+    base = [r.integers(0, 1 << 63, 40, np.uint64) for _ in range(5)]
+    sets = []
+    for _ in range(120):
+        one = base[r.integers(5)].copy()
+        one[r.integers(0, 40, r.integers(0, 9))] += np.uint64(r.integers(1, 3))
+        sets.append(np.unique(one))
+    want, got = list(range(120)), list(range(120))
+    pairs = [(i, j) for i in range(120) for j in range(120) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    for root, found in ((want, pairs), (got, simhash.similar_edges(sets))):
+        for a, b in found:
+            x, y = root[a], root[b]
+            root[:] = [min(x, y) if v in (x, y) else v for v in root]
+    assert got == want
+
+
 def test_bucket_edges_reach_what_pairs_reach():
     rng = np.random.default_rng(5)
     for n, width, radius in ((20, 1, 4), (200, 1, 4), (20, 4, 48), (300, 4, 48)):
