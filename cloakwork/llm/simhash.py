@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, slices, table
+from .common import components, discard, materialize, numbered, slices, table
 
 BLOCKS, AGREE = 6, 2
 #: Fingerprints in a block of bit planes.
@@ -358,11 +358,6 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
     return fps.join(member.join(low, "root").drop("low"), ["k0", "k1"]).select("row", "doc_id", "root", "component_id")
 
 
-def numbered(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """docs, written with a number for each row."""
-    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), spark)
-
-
 def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id), a row for each row."""
     return similar_rows(numbered(docs.select("doc_id", "text"), spark), spark, shingle).select("doc_id", "component_id")
@@ -374,13 +369,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id; five-word shingles.
+    """One row of each near-duplicate group stays, that with the smallest doc_id; five-word shingles.
 
-    Of rows that repeat a kept doc_id one stays; rows without an id stay if no row of their group has one.
+    A row without an id stays only if no row of its group has one, and then one row of the group does.
+    Of rows that repeat a kept doc_id one stays.
     """
-    found = similar_groups(docs, spark)
-    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).groupBy("_id").count(), spark)
-    once = kept.where("count > 1").limit(1).count() == 0
-    rest = docs.where("doc_id is null")
-    named = docs.join(kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    return (named if once else named.dropDuplicates(["doc_id"])).unionByName(rest.dropDuplicates(["text"]))
+    rows = numbered(docs, spark)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = similar_rows(rows, spark).groupBy("root").agg(first).select("first.*")
+    kept = materialize(kept, spark)
+    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+    return rows.join(named.unionByName(kept.where("doc_id is null").select("row")), "row", "left_semi").select(*docs.columns)

@@ -63,6 +63,18 @@ def test_similar_groups_verify_sets(spark):
     assert got[1001] == 1000 and all(got[i] == i for i in below)
 
 
+def test_near_dup_stage_null_ids(spark):
+    words = [f"w{j}" for j in range(60)]
+    one, near, other, far = " ".join(words), " ".join([*words, "more"]), " ".join(f"x{j}" for j in range(60)), "all alone"
+    rows = [(None, one), (5, one), (3, near), (None, near), (None, other), (None, other + " more"), (None, other), (7, far), (7, far)]
+    docs = spark.createDataFrame([(i, t, "en", "a", n) for n, (i, t) in enumerate(rows)], DOCS)
+    out = simhash.stage(spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == 3
+    assert {(r.doc_id, r.text) for r in got if r.doc_id} == {(3, near), (7, far)}
+    assert [r.text in (other, other + " more") for r in got if r.doc_id is None] == [True]
+
+
 def test_similar_edges_reach_what_pairs_reach():
     r = np.random.default_rng(6)
     base = [r.integers(0, 1 << 63, 40, np.uint64) for _ in range(5)]
