@@ -29,6 +29,8 @@ BUCKETS = 1 << 14
 #: Codeword bits for more languages than exhaustive codes serve.
 BITS_PER_DOUBLING = 12
 UNKNOWN = "und"
+#: A text whose nearest codeword is wrong in a bit is identified from this share of the votes on.
+IDENTIFIED_FROM = 0.8
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -81,11 +83,23 @@ class CodeModel:
     #: Below this share of the votes the nearest codeword is called ambiguous.
     ambiguous_below: float = 0.5
 
+    def _margin(self, data: bytes) -> np.ndarray:
+        counts = np.bincount(_grams(data), minlength=BUCKETS)
+        return self.weights @ counts / max(1, counts.sum()) * self.bias
+
+    def identified(self, data: bytes) -> bool:
+        """Whether the decoding holds: no classifier speaks against the nearest codeword, or its share of the votes
+        is IDENTIFIED_FROM or more. One bit alone (two languages) has only the votes; one language takes all."""
+        lang, vote, _ = self.decide(data)
+        if vote >= IDENTIFIED_FROM:
+            return True
+        code = self.codes[self.langs.index(lang)]
+        return len(code) > 1 and not (code * self._margin(data) < 0).any()
+
     def decide(self, data: bytes) -> tuple[str, float, bool]:
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        counts = np.bincount(_grams(data), minlength=BUCKETS)
-        margin = self.weights @ counts / max(1, counts.sum()) * self.bias
+        margin = self._margin(data)
         loss = (self.alpha * np.log1p(np.exp(-self.codes * margin))).sum(axis=1)
         vote = np.exp(-(loss - loss.min()))
         vote /= vote.sum()
@@ -152,7 +166,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a recognizable language (`und`); keep all others as they are."""
+    """Drop the documents without a letter and those that no learned language's codeword fits; keep all others as they are."""
     model = train(docs.where(~held_out("doc_id", 4, 2)).select("lang", "text"))
     return keep_identified(docs, model)
 
@@ -164,7 +178,7 @@ def keep_identified(docs: DataFrame, model: CodeModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text"):
-            ok = [bool(m.langs and t and any(map(str.isalpha, t)) and m.decide(t.encode())[0] != UNKNOWN) for t in batch.column(at).to_pylist()]
+            ok = [bool(m.langs and t and any(map(str.isalpha, t)) and m.identified(t.encode())) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

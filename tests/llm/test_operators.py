@@ -283,6 +283,16 @@ def test_language_id(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(df, model).collect()) == list(range(60))
 
 
+def test_keep_identified_rejects(spark):
+    """What fits no learned language goes; what is written in one stays."""
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(clean.select("lang", "text"))
+    assert langid.keep_identified(clean, model).count() == clean.count()
+    junk = ["xkcdqzvw qqzzxx wvvkq jjxqz " * 5, "asdf qwer zxcv uiop hjkl " * 8, "日本語の文章はこのように書かれています", "Это русский текст о погоде и городе", "Wikipedia on yhteisöllisesti toimitettu monikielinen tietosanakirja"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, model).count() == 0
+
+
 def test_pieces(spark, docs, rows):
     model = pieces.PieceModel.of(["<b>", *[f"<{b}>" for b in range(256)], "▁", "▁a", "b", "ab", "▁ab", "a", "c", "abc"], [*range(257, 265)], list(range(1, 257)))
     units = ["▁abcab", "▁", "zab", "abcabc", "▁▁a"]
