@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fits_broadcast, materialize, table
+from .common import WORD, discard, fits_broadcast, materialize, numbered, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A document may be taken so many times at most.
@@ -38,8 +38,13 @@ LANDING_BITS = 1 << 22
 EPS = 1e-9
 
 
+def _row(rows: DataFrame) -> list[str]:
+    """The number of each row, where rows have one."""
+    return [c for c in rows.columns if c == "row"]
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", *_row(docs), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -139,14 +144,16 @@ def _solver(last: bool):
 
 
 def draw(sized: DataFrame, wanted: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, source, size) and targets -> the same rows with source_size, target, copies and taken."""
+    """(doc_id, source, size[, row]) and targets -> the same rows with source_size, target, copies and taken."""
+    keys = _row(sized)
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7))) if keys else F.xxhash64("doc_id", F.lit(7))
     wanted = materialize(wanted, spark)
     if fits_broadcast(wanted, 64):
         wanted = F.broadcast(wanted)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(wanted, sized.source.eqNullSafe(wanted.source)).drop(wanted.source)
     rows = rows.withColumn("whole", F.floor(ratio + EPS)).withColumn("prob", F.greatest(F.lit(0.0), ratio - F.col("whole")))
-    rows = materialize(rows.withColumn("deal", F.xxhash64("doc_id", F.lit(7))).withColumn("done", F.lit(False)), spark)
+    rows = materialize(rows.withColumn("deal", dealt).withColumn("done", F.lit(False)), spark)
     ready, rounds, to_drop = [], 0, [rows]
     schema = rows.schema
     while True:
@@ -171,7 +178,7 @@ def draw(sized: DataFrame, wanted: DataFrame, spark: SparkSession) -> DataFrame:
     for x in ready[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.round("prob")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", *keys)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +188,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    sized = materialize(sizes(docs), spark)
-    copies = draw(sized, targets(sized), spark).select(F.col("doc_id").alias("_id"), "copies")
-    copies = materialize(copies.groupBy("_id").agg(F.max("copies").alias("_copies")).where("_copies > 0"), spark)
+    rows = numbered(docs, spark)
+    sized = materialize(sizes(rows), spark)
+    copies = draw(sized, targets(sized), spark).where("copies > 0").select("row", F.col("copies").alias("_copies"))
+    copies = materialize(copies, spark)
     if fits_broadcast(copies, 24):
         copies = F.broadcast(copies)
-    kept = docs.join(copies, docs.doc_id.eqNullSafe(copies._id))
+    kept = rows.join(copies, "row")
     return kept.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -143,6 +143,22 @@ def test_mixing(spark, docs, rows):
     assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_mixing_stage_null_ids(spark):
+    """Rows without an id are drawn each for itself, so that the sources meet their targets."""
+    rows = [(i if i % 2 else None, " ".join(["w"] * (5 + i % 7)), "abc"[i % 3], i) for i in range(300)]
+    rows += [(1, "w w w", "a", 300), (None, None, None, 301)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    want = {r.source: r.target for r in mixing.targets(mixing.sizes(docs)).collect()}
+    out = mixing.stage(spark, docs, "")
+    got, times = Counter(), Counter()
+    for r in out.collect():
+        got[r.source] += len((r.text or "").split())
+        times[r.extra] += 1
+    assert out.columns == docs.columns and max(times.values()) <= 3
+    assert all(abs(got[s] - t) <= 5 for s, t in want.items())
+    assert mixing.stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_flight_keeps_totals():
     r = np.random.default_rng(1)
     size = r.integers(1, 500, 300)
