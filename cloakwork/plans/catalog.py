@@ -515,6 +515,12 @@ def lang_source_crosstab(spark, sf_dir):
     return corpus.crosstab(documents(spark, sf_dir).where(F.col("source").isin("src0", "src1", "src2")), "lang", "source", ["src0", "src1", "src2"])
 
 
+@query("lang_source_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def lang_source_counts(spark, sf_dir):
+    """The crosstab of all sources, in long form."""
+    return documents(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("synthetic_documents")
 def synthetic_documents(spark, sf_dir):
     rows = made(spark, sf_dir)

@@ -149,3 +149,14 @@ def test_queue_is_idempotent(spark, tmp_path):
 def test_language(spark):
     rows = spark.createDataFrame([("the phone and your name",), ("el teléfono de la cuenta",), ("",)], "t string")
     assert [r[0] for r in rows.select(language(F.col("t"))).collect()] == ["en", "es", "es"]
+
+
+def test_lang_source_counts_have_all_sources(spark):
+    from collections import Counter
+
+    from cloakwork.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source").collect()
+    got = {(r.lang, r.source): r.n for r in catalog.QUERIES["lang_source_counts"](spark, sf_dir).collect()}
+    assert got == Counter((r.lang, r.source) for r in docs)
