@@ -40,7 +40,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# ---- scans: one query for each rule, over business documents, some over the documents too
+# ---- scans: two queries for each rule, over business documents and over the documents
 
 
 def _found_sql(source: str, r: rules.Rule) -> str:
@@ -72,6 +72,9 @@ for _r in rules.RULES:
     query(f"scan_{_r.name}", _found_sql(f"({inputs.BUSINESS})", _r) if _plain else None)(_scan(_r, business))
 for _name in ("email", "ipv4", "credit_card", "password_labeled"):
     query(f"scan_documents_{_name}", _found_sql("documents", rules.BY_NAME[_name]))(_scan(rules.BY_NAME[_name], documents))
+for _r in rules.RULES:
+    if f"scan_documents_{_r.name}" not in QUERIES:
+        query(f"scan_documents_{_r.name}", _found_sql("documents", _r) if "(?<" not in _r.head else None)(_scan(_r, documents))
 
 
 # ---- checks of identifiers

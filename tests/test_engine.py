@@ -160,3 +160,14 @@ def test_lang_source_counts_have_all_sources(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source").collect()
     got = {(r.lang, r.source): r.n for r in catalog.QUERIES["lang_source_counts"](spark, sf_dir).collect()}
     assert got == Counter((r.lang, r.source) for r in docs)
+
+
+def test_every_rule_scans_the_documents(spark):
+    from cloakwork.operators import rules
+    from cloakwork.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert all(f"scan_documents_{r.name}" in catalog.QUERIES for r in rules.RULES)
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text rlike '[0-9]{1,3}(\\\\.[0-9]{1,3}){3}'").count()
+    assert n and catalog.QUERIES["scan_documents_ipv4"](spark, sf_dir).select("doc_id").distinct().count() <= n
+    assert catalog.QUERIES["scan_documents_phone_us"](spark, sf_dir).columns == ["doc_id", "start_at", "value"]
