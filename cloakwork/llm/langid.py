@@ -31,6 +31,8 @@ BITS_PER_DOUBLING = 12
 UNKNOWN = "und"
 #: A text whose nearest codeword is wrong in a bit is identified from this share of the votes on.
 IDENTIFIED_FROM = 0.8
+#: A text below that is still kept, as a mixture of learned languages, if its n-grams' mean familiarity reaches this.
+FAMILIAR_FROM = 1.5
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -80,6 +82,8 @@ class CodeModel:
     weights: np.ndarray
     bias: np.ndarray
     alpha: np.ndarray
+    #: By bucket, the log of how much likelier it is in the learned languages than any bucket by chance.
+    familiar: np.ndarray
     #: Below this share of the votes the nearest codeword is called ambiguous.
     ambiguous_below: float = 0.5
 
@@ -89,12 +93,16 @@ class CodeModel:
 
     def identified(self, data: bytes) -> bool:
         """Whether the decoding holds: no classifier speaks against the nearest codeword, or its share of the votes
-        is IDENTIFIED_FROM or more. One bit alone (two languages) has only the votes; one language takes all."""
+        is IDENTIFIED_FROM or more. One bit alone (two languages) has only the votes; one language takes all. A text that mixes learned
+        languages fails that, yet its n-grams are familiar (FAMILIAR_FROM): it stays."""
         lang, vote, _ = self.decide(data)
         if vote >= IDENTIFIED_FROM:
             return True
         code = self.codes[self.langs.index(lang)]
-        return len(code) > 1 and not (code * self._margin(data) < 0).any()
+        if len(code) > 1 and not (code * self._margin(data) < 0).any():
+            return True
+        grams = _grams(data)
+        return float(self.familiar[grams].mean()) >= FAMILIAR_FROM
 
     def decide(self, data: bytes) -> tuple[str, float, bool]:
         if len(self.langs) == 1:
@@ -128,7 +136,7 @@ def train(docs: DataFrame) -> CodeModel:
     for lang, bucket, n in sums:
         counts[at[lang], bucket] = n
     if len(langs) < 2:
-        return CodeModel(langs, np.ones((len(langs), 1)), np.zeros((1, BUCKETS)), np.ones(1), np.ones(1))
+        return CodeModel(langs, np.ones((len(langs), 1)), np.zeros((1, BUCKETS)), np.ones(1), np.ones(1), np.zeros(BUCKETS))
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     codes = codewords(len(langs))
     weights = np.stack([np.log(share[c > 0].mean(axis=0)) - np.log(share[c < 0].mean(axis=0)) for c in codes.T])
@@ -137,7 +145,7 @@ def train(docs: DataFrame) -> CodeModel:
     margins = weights @ share.T * codes.T
     scale = 4.0 / np.maximum(1e-6, np.abs(margins).mean(axis=1))
     alpha = np.clip(margins.min(axis=1) * scale / 4.0, 0.05, 1.0)
-    return CodeModel(langs, codes, weights, scale, alpha)
+    return CodeModel(langs, codes, weights, scale, alpha, np.log(share.mean(axis=0) * BUCKETS))
 
 
 def predict(docs: DataFrame, model: CodeModel, key: str = "doc_id") -> DataFrame:

@@ -307,6 +307,9 @@ def test_keep_identified_rejects(spark):
     junk = ["xkcdqzvw qqzzxx wvvkq jjxqz " * 5, "asdf qwer zxcv uiop hjkl " * 8, "日本語の文章はこのように書かれています", "Это русский текст о погоде и городе", "Wikipedia on yhteisöllisesti toimitettu monikielinen tietosanakirja"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
     assert langid.keep_identified(docs, model).count() == 0
+    some = {r.lang: r.text for r in clean.where("length(text) between 500 and 1500").orderBy("doc_id").collect()}
+    mixed = [(i, some[a] + " " + some[b], None) for i, (a, b) in enumerate([("en", "de"), ("fr", "es"), ("de", "fr"), ("en", "es")])]
+    assert langid.keep_identified(spark.createDataFrame(mixed, docs.schema), model).count() == 4
 
 
 def test_pieces(spark, docs, rows):
