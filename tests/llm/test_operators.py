@@ -320,3 +320,15 @@ def test_pieces(spark, docs, rows):
     back = {r.doc_id: r.text for r in pieces.decode(out).collect()}
     assert all(back[i] == (t or "") for i, t, *_ in rows) and out.where("not round_trip").count() == 0
     assert pieces.PieceEncoder(pieces.PieceModel.load(pieces.default_pieces())).encode(["", "a▁ b"])[0] == b""
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()
+    rows = [tuple(r) for r in some] + [(None, *tuple(some[0])[1:]), tuple(some[1]), (None, "12 34", "en", "src0", 5), (900, None, "en", "src0", 0)]
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert out and ids <= {r.doc_id for r in some} and max(Counter(r.doc_id for r in out).values()) <= 3
