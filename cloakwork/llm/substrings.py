@@ -7,16 +7,17 @@ anchor's context. First, contexts of equal anchor and equal bytes are compared b
 earliest repeat an earlier string in all their windows. Then the earliest contexts of anchors that
 have several different ones are cut out of the texts and sorted: their windows are suffixes of one
 buffer, in order by a merge sort whose comparisons find the common extension of two suffixes by
-binary search over prefix polynomial hashes, in a logarithm of their length. Neighbours with a
-common extension of WIDTH bytes are verified byte by byte; in each run of equal ones all but the
+binary search over prefix polynomial hashes, in a logarithm of their length. A window whose own hash
+occurs once among those of its anchor equals no other and is left out of the sort. Neighbours with
+a common extension of WIDTH bytes are verified byte by byte; in each run of equal ones all but the
 earliest window repeat.
 
 Contexts of anchors with over HOT_CONTEXTS different ones go window by window, dealt by the window,
 so that no group holds more than repeats of one string.
 
 Defined results: a null text has 0 bytes; documents are ordered by doc_id, then by the hash of their
-text where ids repeat; equal rows of one id are one document, each getting its result; a null id
-comes before all others. Extra columns are ignored; an empty table gives an empty result.
+text where ids repeat; equal rows of one id are one document, searched once, and each row gets its
+result; a null id comes before all others. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, scratch, slices, table
 
 WIDTH, GRAM = 100, 20
 SPAN = WIDTH - GRAM + 1  # grams of a window
 HOT_CONTEXTS = 4096
 #: Bytes of contexts that are sorted at a time.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SEGMENT = (1 << 20) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -111,14 +112,14 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) -> a row for each of a text's contexts: (anchor, content, doc, tie, place, stop).
 
-    place: first window << 8 | windows. What repeats within the text is joined to runs that have no
+    place: first window << 16 | the anchor's place behind it << 8 | windows. What repeats within the text is joined to runs that have no
     content but a stop; their anchor only deals them.
     """
     for batch in slices(batches, "text", 4 << 20):
         out: list[list[np.ndarray]] = [[] for _ in range(8)]
         for doc, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode()
-            grams, _, first, count = anchors(np.frombuffer(raw, np.uint8))
+            grams, at, first, count = anchors(np.frombuffer(raw, np.uint8))
             if not len(first):
                 continue
             stop = first + count + WIDTH - 1
@@ -138,7 +139,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.full(n + m, doc or 0, np.int64),
                 np.full(n + m, doc is None),
                 np.full(n + m, tie, np.int64),
-                np.concatenate((first[own] << 8 | count[own], a << 8)),
+                np.concatenate((first[own] << 16 | (at - first)[own] << 8 | count[own], a << 16)),
                 np.concatenate((np.zeros(n, np.int64), z)),
             ), strict=True):
                 col.append(v)
@@ -191,72 +192,102 @@ def sorted_runs(hashes: PrefixHash, starts: np.ndarray, group: np.ndarray) -> tu
     return order, same
 
 
-def repeats(keys: np.ndarray, contexts: list[bytes], begin: np.ndarray, held: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Contexts in order of their documents and places, sorted by key: the windows (context, offset) that repeat an
-    earlier one of their key, and the contexts from which a first window comes. The first `held` contexts were seen before."""
-    lens = np.array([len(c) for c in contexts])
+def repeats(keys: np.ndarray, data: np.ndarray, lens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in order of their documents and places, sorted by key, their bytes one after another in `data`: the
+    windows that repeat an earlier one of their key, as (context, offset), and whether a first window comes from each context.
+
+    begin: the anchor's place in each context; equal windows have it at the same place, so key and place deal them.
+    """
     windows = lens - WIDTH + 1
-    offset = np.cumsum(lens) - lens
-    hashes = PrefixHash(np.frombuffer(b"".join(contexts), np.uint8))
-    context = np.repeat(np.arange(len(contexts)), windows)
+    hashes = PrefixHash(data)
+    context = np.repeat(np.arange(len(lens)), windows)
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = np.repeat(offset, windows) + inner
-    # Equal windows have their anchor at the same place, so key and place deal them.
-    place = begin[context] - inner
-    group = np.unique(np.stack((keys[context], place), axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-    order, same = sorted_runs(hashes, starts, group)
-    again = order[same]
-    fresh = np.unique(context[order[~same]])
-    found = [(c, i) for c, i in zip(context[again].tolist(), inner[again].tolist(), strict=True) if c >= held]
-    return found, fresh.tolist()
+    starts = np.repeat(np.cumsum(lens) - lens, windows) + inner
+    of_key = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
+    group = of_key[context] * (2 * WIDTH) + begin[context] - inner
+    # A window of a hash that its group has once is the first of its string: it needs no place in the order.
+    print_ = _mix(hashes.of(starts, WIDTH) ^ _mix(group.astype(np.uint64) + BASE))
+    order = np.argsort(print_)
+    again = np.zeros(len(order), bool)
+    equal = print_[order[1:]] == print_[order[:-1]]
+    again[order[1:]] |= equal
+    again[order[:-1]] |= equal
+    fresh = np.zeros(len(lens), bool)
+    fresh[context[~again]] = True
+    live = np.flatnonzero(again)
+    place, same = sorted_runs(hashes, starts[live], group[live])
+    place = live[place]
+    fresh[context[place[~same]]] = True
+    found = np.sort(place[same])
+    return context[found], inner[found], fresh
 
 
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, tie, first, anchor_at, bytes) by key, doc, tie, first -> repeated windows as (doc, tie, start, stop)."""
-    rows: list[tuple] = []
-    kept: list[tuple] = []  # of the key that goes on: contexts with a first window
+    """(key, doc, tie, first, anchor_at, bytes) by key, doc, tie, first -> runs of repeated windows as (doc, tie, start, stop)."""
+    rows: list[pa.RecordBatch] = []
+    kept: pa.RecordBatch | None = None  # of the key that goes on: contexts with a first window
     size = 0
 
-    def close(last: bool) -> pa.RecordBatch:
+    def close() -> pa.RecordBatch:
         nonlocal rows, kept, size
-        both = kept + rows
-        out = []
-        if len(both) > 1:
-            found, fresh = repeats(np.array([r[0] for r in both]), [r[5] for r in both], np.array([r[4] for r in both]), len(kept))
-            out = [(both[c][1], both[c][2], both[c][3] + i, both[c][3] + i + WIDTH) for c, i in found]
-            kept = [both[c] for c in fresh if both[c][0] == both[-1][0]]
-        else:
-            kept = both
+        seen = kept.num_rows if kept is not None else 0
+        both = pa.Table.from_batches([kept, *rows] if seen else rows).combine_chunks().to_batches()[0]
         rows, size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], ["doc", "tie", "start", "stop"])
+        key, doc, tie, first, at = (np.asarray(c.fill_null(0)) for c in both.columns[:5])
+        no_doc = np.asarray(both.column(1).is_null())
+        part = both.column(5)
+        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        context, inner, fresh = repeats(key, data, np.diff(ends), at)
+        new = context >= seen
+        context, inner = context[new], inner[new]
+        head = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (inner[1:] != inner[:-1] + 1)))) if len(context) else context
+        tail = np.concatenate((head[1:], [len(context)])) - 1 if len(head) else head
+        c = context[head]
+        start = first[c] + inner[head]
+        stop = first[c] + inner[tail] + WIDTH
+        kept = both.take(pa.array(np.flatnonzero(fresh & (key == key[-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(doc[c], mask=no_doc[c]), pa.array(tie[c]), pa.array(start), pa.array(stop)], ["doc", "tie", "start", "stop"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(row)
-            size += len(row[5])
+        for part in slices(iter([batch]), "bytes", CHUNK):
+            rows.append(part)
+            size += part.column(5).nbytes
             if size >= CHUNK:
-                yield close(False)
+                yield close()
     if rows:
-        yield close(True)
+        yield close()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text, wanted: structs of anchor, place and whether it is hot) -> the contexts' rows for sorting."""
     for batch in slices(batches, "text", 4 << 20):
         out: list[list] = [[], [], [], [], [], []]
-        for doc, tie, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        key, docs, ties, first, at, parts = out
+        wanted = batch.column(3)
+        own = np.diff(np.asarray(wanted.offsets))
+        flat = wanted.flatten()
+        anchor, place, hot = (np.asarray(flat.field(k)).tolist() for k in range(3))
+        i = 0
+        for doc, tie, text, n in zip(*(c.to_pylist() for c in batch.columns[:3]), own.tolist(), strict=True):
             raw = (text or "").encode()
-            for w in sorted(wanted, key=lambda w: w["place"]):
-                first, count = w["place"] >> 8, w["place"] & 255
-                context = raw[first : first + count + WIDTH - 1]
-                if w["hot"]:
-                    parts = [(xxhash.xxh3_64_intdigest(context[i : i + WIDTH]) - 2**63, first + i, 0, context[i : i + WIDTH]) for i in range(count)]
+            for k in range(i, i + n):
+                begin, count = place[k] >> 16, place[k] & 255
+                context = raw[begin : begin + count + WIDTH - 1]
+                if hot[k]:
+                    windows = [context[i : i + WIDTH] for i in range(count)]
+                    key += [xxhash.xxh3_64_intdigest(w) - 2**63 for w in windows]
+                    first += range(begin, begin + count)
+                    at += [0] * count
+                    parts += windows
                 else:
-                    at = int(anchors(np.frombuffer(context, np.uint8))[1][0])
-                    parts = [(w["anchor"], first, at, context)]
-                for key, start, at, part in parts:
-                    for col, v in zip(out, (key, doc, tie, start, at, part), strict=True):
-                        col.append(v)
+                    key.append(anchor[k])
+                    first.append(begin)
+                    at.append(place[k] >> 8 & 255)
+                    parts.append(context)
+            docs += [doc] * (len(parts) - len(docs))
+            ties += [tie] * (len(parts) - len(ties))
+            i += n
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, c in enumerate(out)], ["key", "doc", "tie", "first", "anchor_at", "bytes"])
 
 
@@ -283,30 +314,30 @@ def _rewrite(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, spark: SparkSession, keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, spark: SparkSession, keep: bool = True, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary if `keep`)."""
-    ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    tie = F.xxhash64("text") if ids else F.lit(0).cast("long")  # only ids that repeat need one
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    tie = F.xxhash64("text") if repeated else F.lit(0).cast("long")  # only ids that repeat need one
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), tie.alias("tie"), "text")
-    contexts = rows.mapInArrow(_contexts, "anchor long, content long, doc long, tie long, place long, stop long")
+    once = rows.dropDuplicates(["doc", "tie"]) if repeated else rows
+    contexts = once.mapInArrow(_contexts, "anchor long, content long, doc long, tie long, place long, stop long")
     # Equal contexts: all but the earliest are cut whole. One shuffle, by anchor; a frequent one is streamed from disk.
     equal = Window.partitionBy("anchor", "content").orderBy("doc", "tie", "place")
-    at = F.struct("doc", "tie", "place")
-    marked = contexts.withColumn("nth", F.row_number().over(equal)).withColumn("first", at == F.first(at).over(equal))
+    marked = contexts.withColumn("nth", F.row_number().over(equal))
     marked = marked.withColumn("contents", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("anchor")))
-    found = F.col("stop").isNotNull() | ~F.col("first")
+    found = F.col("stop").isNotNull() | (F.col("nth") > 1)
     unsure = F.col("stop").isNull() & (F.col("nth") == 1) & (F.col("contents") > 1)
-    begin = F.shiftright("place", 8)
+    begin = F.shiftright("place", 16)
     stop = F.coalesce("stop", begin + F.col("place").bitwiseAND(255) + (WIDTH - 1))
-    marked = marked.where(found | unsure).select("doc", "tie", F.when(found, begin).alias("start"), F.when(found, stop).alias("stop"), F.when(~found, F.struct("anchor", "place", (F.col("contents") > HOT_CONTEXTS).alias("hot"))).alias("want"))
-    marked = materialize(marked, spark)
-    # The earliest of several different contexts of an anchor: cut out and sorted.
-    wants = marked.where("want is not null").groupBy("doc", "tie").agg(F.collect_list("want").alias("wanted"))
-    cut = _of(rows, wants, "wanted").mapInArrow(_cut, "key long, doc long, tie long, first long, anchor_at long, bytes binary")
-    again = cut.repartition("key").sortWithinPartitions("key", "doc", "tie", "first").mapInArrow(_sort_contexts, "doc long, tie long, start long, stop long")
-    again = materialize(again, spark)
-    cuts = marked.where("want is null").select("doc", "tie", "start", "stop").unionByName(again)
-    cuts = cuts.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    marked = marked.where(found | unsure).select("doc", "tie", F.when(found, begin).alias("start"), F.when(found, stop).alias("stop"), F.when(~found, F.struct("anchor", "place", (F.col("contents") > hot_contexts).alias("hot"))).alias("want"))
+    with scratch(spark):
+        marked = materialize(marked, spark)
+        # The earliest of several different contexts of an anchor: cut out and sorted.
+        wants = marked.where("want is not null").groupBy("doc", "tie").agg(F.collect_list("want").alias("wanted"))
+        cut = _of(once, wants, "wanted").mapInArrow(_cut, "key long, doc long, tie long, first long, anchor_at long, bytes binary")
+        again = cut.repartition("key").sortWithinPartitions("key", "doc", "tie", "first").mapInArrow(_sort_contexts, "doc long, tie long, start long, stop long")
+        cuts = marked.where("want is null").select("doc", "tie", "start", "stop").unionByName(again)
+        cuts = materialize(cuts.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), spark, 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _of(rows, cuts, "cuts", "left").drop("tie").mapInArrow(lambda batches: _rewrite(batches, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 

@@ -228,10 +228,12 @@ def test_wavelet_matrix():
     assert m.count(int(ids[7])) == len(places) and [m.occurrence(int(ids[7]), k) for k in range(len(places))] == places.tolist()
 
 
-def test_substrings(spark, docs, rows):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, spark).collect()}
-    seen = set()
-    for i, t, *_ in rows:
+def _removed(rows):
+    """By brute force: of each (id, text) in the order of documents, each once, what stays of it."""
+    seen, out = set(), {}
+    for i, t in rows:
+        if (i, t) in out:
+            continue
         b = (t or "").encode()
         cut = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -239,7 +241,24 @@ def test_substrings(spark, docs, rows):
                 cut[p : p + 100] = b"\1" * 100
             seen.add(b[p : p + 100])
         spans = sum(1 for k in range(len(b)) if cut[k] and (not k or not cut[k - 1]))
-        assert got[i] == (len(b), sum(cut), spans, hashlib.sha256(bytes(x for x, c in zip(b, cut) if not c)).hexdigest())
+        out[i, t] = (len(b), sum(cut), spans, hashlib.sha256(bytes(x for x, c in zip(b, cut) if not c)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 1])
+def test_substrings(spark, docs, rows, hot):
+    want = _removed((i, t) for i, t, *_ in rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs, spark, hot_contexts=hot).collect()}
+    assert got == {i: v for (i, _), v in want.items()}
+
+
+def test_substrings_of_repeated_rows(spark, rows):
+    """Equal rows are one document; a null id comes first; texts under one id are searched in the order of their hashes."""
+    some = [(i, t) for i, t, *_ in rows if i % 3 == 0] + [(None, rows[3][1]), (500, "".join(f"{k} " for k in range(300)))]
+    want = _removed(sorted(some, key=lambda r: (r[0] is not None, r[0])))
+    got = substrings.remove_repeats(spark.createDataFrame(some + some, "doc_id long, text string"), spark).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(2 * [str((i, *v)) for (i, _), v in want.items()])
+    assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string, doc int"), spark).count() == 0
 
 
 def test_suffix_sort():
