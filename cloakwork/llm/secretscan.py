@@ -1,10 +1,12 @@
 """Secret scans over an inverted index of trigrams, in DataFrame operations only.
 
-Each rule's regular expression gives a Boolean query over trigrams: a disjunction of conjunctions
-of the trigrams that any match must hold, in lower case. The index has a posting (trigram, document)
-for every trigram of the queries. Postings are intersected by counting, for each document, those of
-each conjunction; documents that complete one are the rule's candidates, and only they are verified
-with the regular expression. A rule without mandatory trigrams has every document as candidate.
+Each rule's regular expression is parsed, and what every match must hold becomes a Boolean query
+over trigrams, in lower case: the strings that a part without open classes or repetitions can be,
+alternatives joined by or, parts that follow one another by and. The index has a posting (trigram,
+document) for every trigram of the queries. Postings are intersected by gathering, for each
+document, a bit for each of its trigrams, on which the queries are then evaluated; the documents
+that fulfil one are the rule's candidates, and only they are verified with the regular expression.
+A rule without mandatory trigrams has every document as candidate.
 
 The base kinds are `assign`, `access` and `hex`; the others are added. Spans are of whole matches,
 in code points, end exclusive; matches of one kind are leftmost and don't overlap, those of
@@ -12,100 +14,229 @@ different kinds may. A match is dropped after matching if it is too short, so it
 it covers.
 
 Defined results: a null text counts as empty; no spans give an empty string and the hash of it;
-repeated doc_ids, null ids and equal rows each keep a row of their own; extra columns are ignored;
-an empty table gives an empty result.
+repeated doc_ids, null ids and equal rows each keep a row of their own; extra columns are ignored,
+`stage` returns them as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parser
+from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import product
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, materialize, table
+from .common import fits_broadcast, materialize, packed, scratch, table
+
+#: A trigram, ("all", queries), ("any", queries), or None, which everything fulfils.
+Query = str | tuple[str, tuple] | None
+#: So many strings at most are told apart for a part of a pattern, and so many characters for a class.
+MOST_STRINGS, MOST_CLASS = 64, 16
+#: Trigrams of a word of the intersection.
+WORD_BITS = 62
+
+
+def _join(kind: str, queries: Iterable[Query]) -> Query:
+    parts = list(dict.fromkeys(queries))
+    if kind == "any" and None in parts:
+        return None
+    parts = [q for q in parts if q is not None]
+    return (kind, tuple(parts)) if len(parts) > 1 else parts[0] if parts else None
+
+
+def _of_string(text: str) -> Query:
+    """Every third trigram and the last: together they hold all its characters."""
+    if len(text) < 3:
+        return None
+    return _join("all", [text[i : i + 3] for i in (*range(0, len(text) - 3, 3), len(text) - 3)])
 
 
 @dataclass(frozen=True)
-class SecretRule:
-    """`pattern` finds matches; `minimum` characters are asked of group `measured` (0: of the match).
+class _Part:
+    """What a part of a pattern can match: all its strings, if they are few, and a query that each match fulfils."""
+
+    strings: frozenset[str] | None
+    beyond: Query = None
+
+    @property
+    def query(self) -> Query:
+        if self.strings is None:
+            return self.beyond
+        # What holds a longer string also holds the shorter ones within it.
+        least = [s for s in sorted(self.strings) if not any(t != s and t in s for t in self.strings)]
+        return _join("any", map(_of_string, least))
+
+
+_NOTHING, _ANYTHING = _Part(frozenset([""])), _Part(None)
+
+
+def _sequence(parts: Iterable[_Part]) -> _Part:
+    """Parts in a row: strings are put together as long as they are few, then turned into a query."""
+    run, queries, whole = _NOTHING, [], True
+    for part in parts:
+        if part.strings is not None and len(run.strings) * len(part.strings) <= MOST_STRINGS:
+            run = _Part(frozenset(a + b for a in run.strings for b in part.strings))
+            continue
+        queries.append(run.query)
+        whole = False
+        run = part if part.strings is not None else _NOTHING
+        if part.strings is None:
+            queries.append(part.beyond)
+    return run if whole else _Part(None, _join("all", [*queries, run.query]))
+
+
+def _either(parts: list[_Part]) -> _Part:
+    if all(p.strings is not None for p in parts) and sum(len(p.strings) for p in parts) <= MOST_STRINGS:
+        return _Part(frozenset().union(*[p.strings for p in parts]))
+    return _Part(None, _join("any", [p.query for p in parts]))
+
+
+def _class(items: list) -> _Part:
+    chars: set[str] = set()
+    for kind, value in items:
+        if kind is sre.LITERAL:
+            chars.add(chr(value).lower())
+        elif kind is sre.RANGE and value[1] - value[0] < 4 * MOST_CLASS:
+            chars.update(chr(c).lower() for c in range(value[0], value[1] + 1))
+        else:
+            return _ANYTHING
+    return _Part(frozenset(chars)) if len(chars) <= MOST_CLASS else _ANYTHING
+
+
+def _part(node) -> _Part:
+    kind, value = node
+    if kind is sre.LITERAL:
+        return _Part(frozenset([chr(value).lower()]))
+    if kind is sre.IN:
+        return _class(value)
+    if kind is sre.BRANCH:
+        return _either([_sequence(map(_part, b)) for b in value[1]])
+    if kind is sre.SUBPATTERN:
+        return _sequence(map(_part, value[-1]))
+    if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+        least, most, body = value
+        one = _sequence(map(_part, body))
+        if (least, most) == (0, 1):
+            return _either([_NOTHING, one])
+        times = min(least, 4)
+        return _sequence([one] * times + ([_ANYTHING] if times < most else []))
+    return _NOTHING if kind in (sre.AT, sre.ASSERT, sre.ASSERT_NOT) else _ANYTHING
+
+
+@cache
+def trigram_query(pattern: str) -> Query:
+    """The Boolean query that each match of a regular expression fulfils, in lower case."""
+    return _sequence(map(_part, sre_parser.parse(pattern))).query
+
+
+def trigrams_of(query: Query) -> set[str]:
+    if query is None or isinstance(query, str):
+        return {query} if query else set()
+    return set().union(*map(trigrams_of, query[1]))
 
-    `literals`: alternatives of which each match holds one, as concatenations of strings and of
-    tuples of optional variants; empty if there are none.
-    """
+
+@dataclass(frozen=True)
+class SecretRule:
+    """`pattern` finds matches; `minimum` characters are asked of group `measured` (0: of the match)."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str | tuple[str, ...], ...], ...] = ()
     measured: int = 0
     minimum: int = 1
     base: bool = False
 
-    def conjunctions(self) -> list[frozenset[str]]:
-        """The Boolean query: any of these sets of trigrams, each wholly."""
-        out = []
-        for parts in self.literals:
-            for chosen in product(*[(p,) if isinstance(p, str) else p for p in parts]):
-                text = "".join(chosen).lower()
-                out.append(frozenset(text[i : i + 3] for i in range(len(text) - 2)))
-        return [c for c in dict.fromkeys(out) if not any(o < c for o in out)]
+    @property
+    def groups(self) -> int:
+        return sre_parser.parse(self.pattern).state.groups - 1
+
+    @property
+    def query(self) -> Query:
+        return trigram_query(self.pattern)
+
+    @property
+    def probe(self) -> str:
+        """A pattern that each text with a kept match has: where a repetition of one character ends the pattern, and
+        what is measured is that behind a head of one length, the length is asked for at once."""
+        nodes, inner, closing = list(sre_parser.parse(self.pattern)), 0, ""
+        while nodes and nodes[-1][0] is sre.SUBPATTERN and self.pattern.endswith(")" + closing):
+            inner, nodes, closing = nodes[-1][1][0], list(nodes[-1][1][-1]), closing + ")"
+        body = self.pattern.removesuffix(closing)
+        if inner != self.measured or not nodes or nodes[-1][0] is not sre.MAX_REPEAT or not body.endswith("+"):
+            return self.pattern
+        least, most, repeated = nodes[-1][1]
+        head = sre_parser.SubPattern(sre_parser.State(), nodes[:-1]).getwidth()
+        if (least, most) != (1, sre.MAXREPEAT) or repeated.getwidth() != (1, 1) or head[0] != head[1] or self.minimum <= head[0]:
+            return self.pattern
+        return f"{body[:-1]}{{{self.minimum - head[0]},}}{closing}"
 
 
 RULES = (
     SecretRule(
         "assign",
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        (("password",), ("passwd",), ("secret",), ("token",), ("api", ("", "_"), "key")),
         measured=2, minimum=8, base=True,
     ),
-    SecretRule("access", r"AKIA[A-Z0-9]+", (("akia",),), minimum=16, base=True),
+    SecretRule("access", r"AKIA[A-Z0-9]+", minimum=16, base=True),
     SecretRule("hex", r"[0-9a-f]+", minimum=32, base=True),
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ",),)),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", tuple((f"gh{c}_",) for c in "pousr"), minimum=24),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", tuple((f"xox{c}-",) for c in "abprs"), minimum=15),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", (("eyj",),)),
+    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", minimum=24),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", minimum=15),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
 
+def _trigrams(rules: tuple[SecretRule, ...]) -> list[str]:
+    return sorted(set().union(*[trigrams_of(r.query) for r in rules]))
+
+
 def postings(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """The inverted index: (trigram, doc_id) for the trigrams of the rules' queries. ids that repeat share their postings."""
-    grams = sorted({g for r in rules for c in r.conjunctions() for g in c})
     text = F.lower(F.col("text"))
-    found = F.array_compact(F.array(*[F.when(text.contains(g), F.lit(g)) for g in grams]))
+    found = F.array_compact(F.array(*[F.when(text.contains(g), F.lit(g)) for g in _trigrams(rules)]).cast("array<string>"))
     return docs.select("doc_id", F.explode(found).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(doc_id, cand): the numbers of the rules with a conjunction whose postings all name the document.
+    """(doc_id, cand): for each rule, whether the postings of the document fulfil its query; documents that fulfil none are left out.
 
-    A posting is a bit in the document's row of the intersection, so postings are combined before
+    A posting is a bit in the document's words of the intersection, so postings are combined before
     the shuffle and a frequent trigram is no group.
     """
-    grams = sorted({g for r in rules for c in r.conjunctions() for g in c})
-    at = {g: i for i, g in enumerate(grams)}
-    if len(grams) > 63:
-        raise ValueError("the intersection holds 63 trigrams")
-    bit = F.coalesce(*[F.when(F.col("trigram") == g, F.lit(1 << i)) for g, i in at.items()])
-    seen = index.groupBy("doc_id").agg(F.bit_or(bit.cast("long")).alias("seen"))
-    of_rule = []
-    for number, rule in enumerate(rules):
-        if any_of := rule.conjunctions():
-            masks = [sum(1 << at[g] for g in c) for c in any_of]
-            hit = F.lit(False)
-            for m in masks:
-                hit = hit | (F.col("seen").bitwiseAND(F.lit(m).cast("long")) == m)
-            of_rule.append(F.when(hit, F.lit(1 << number)).otherwise(0))
-    cand = sum(of_rule[1:], of_rule[0])
-    return seen.select("doc_id", cand.cast("int").alias("cand")).where("cand <> 0")
+    at = {g: divmod(i, WORD_BITS) for i, g in enumerate(_trigrams(rules))}
+    words = range(1 + max((w for w, _ in at.values()), default=0))
+
+    def word(w: int) -> Column:
+        bits = [F.when(F.col("trigram") == g, F.lit(1 << b)) for g, (x, b) in at.items() if x == w]
+        return F.bit_or(F.coalesce(*bits, F.lit(0)).cast("long")).alias(f"seen{w}")
+
+    def holds(q: Query) -> Column:
+        if isinstance(q, str):
+            q = ("all", (q,))
+        kind, parts = q
+        tests = [holds(p) for p in parts if not isinstance(p, str)]
+        for w in words:
+            mask = sum(1 << at[g][1] for g in parts if isinstance(g, str) and at[g][0] == w)
+            if mask:
+                met = F.col(f"seen{w}").bitwiseAND(F.lit(mask).cast("long"))
+                tests.append(met == mask if kind == "all" else met != 0)
+        out = tests[0]
+        for t in tests[1:]:
+            out = out & t if kind == "all" else out | t
+        return out
+
+    seen = index.groupBy("doc_id").agg(*map(word, words))
+    cand = F.array(*[F.lit(False) if r.query is None else holds(r.query) for r in rules])
+    return seen.select("doc_id", cand.alias("cand")).where(F.exists("cand", lambda c: c))
 
 
 def _runs(text: Column, rule: SecretRule) -> Column:
     """Spans (start, end) of the rule's kept matches: gaps and matches in turn, positions as running lengths."""
-    groups = rule.pattern.count("(") - rule.pattern.count("(?")
     whole = f"(?s:(.*?))({rule.pattern})|(?s:.+)"
     gaps, matches = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    measured = F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.measured)) if groups else matches
+    measured = F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.measured)) if rule.measured else matches
     kind = "array<struct<start:int,end:int>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
 
@@ -120,15 +251,6 @@ def _runs(text: Column, rule: SecretRule) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["spans"])
 
 
-def _quick(rule: SecretRule) -> str:
-    """A pattern that each text with a kept match has: the length is asked for at once."""
-    head, plus, _ = rule.pattern.rpartition("+")
-    if rule.minimum == 1 or rule.pattern[-2:] not in ("]+", "+)"):
-        return rule.pattern
-    fixed = {"access": 4, "github": 4, "slack": 5}.get(rule.kind, 0)
-    return f"{head}{{{rule.minimum - fixed},}}" + (")" if rule.pattern.endswith(")") else "")
-
-
 def _named(rank: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
@@ -137,21 +259,30 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan(docs: DataFrame, spark: SparkSession, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, spans): an array of (kind, start, end), by start and then the rules' order."""
-    cand = materialize(candidates(postings(docs, rules), rules), spark)
-    cand = cand.withColumnRenamed("doc_id", "_id")
-    if fits_broadcast(cand, 24):
-        cand = F.broadcast(cand)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(cand, rows.doc_id.eqNullSafe(cand._id), "left")
+def _spans(text: Column, rules: tuple[SecretRule, ...]) -> Column:
+    """All rules' spans in texts with their `cand`, by start and then the rules' order."""
     found = []
     for number, rule in enumerate(rules):
-        mask = F.coalesce(F.col("cand"), F.lit(0)).bitwiseAND(F.lit(1 << number)) != 0 if rule.conjunctions() else F.lit(True)
-        spans = F.transform(_runs(F.col("text"), rule), _named(number, rule.kind))
-        found.append(F.when(mask & F.col("text").rlike(_quick(rule)), spans))
+        spans = F.transform(_runs(text, rule), _named(number, rule.kind))
+        asked = F.lit(True) if rule.query is None else F.coalesce(F.get("cand", F.lit(number)), F.lit(False))
+        found.append(F.when(asked & text.rlike(rule.probe), spans))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return rows.select("doc_id", F.array_sort(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))).alias("spans"))
+    return F.array_sort(F.flatten(F.array(*[F.coalesce(f, none) for f in found])))
+
+
+def _verified(docs: DataFrame, spark: SparkSession, rules: tuple[SecretRule, ...]) -> DataFrame:
+    """(doc, spans): the documents, packed, with all spans of their texts."""
+    with scratch(spark):
+        cand = materialize(candidates(postings(docs, rules), rules), spark, 1)
+    cand = F.broadcast(cand) if fits_broadcast(cand, 40) else cand.hint("shuffle_hash")
+    rows = docs.select(packed(docs))
+    rows = rows.join(cand.withColumnRenamed("doc_id", "_id"), F.col("doc.doc_id").eqNullSafe(F.col("_id")), "left")
+    return rows.select("doc", _spans(F.coalesce("doc.text", F.lit("")), rules).alias("spans"))
+
+
+def scan(docs: DataFrame, spark: SparkSession, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, spans): an array of (kind, start, end), by start and then the rules' order."""
+    return _verified(docs.select("doc_id", "text"), spark, rules).select("doc.doc_id", "spans")
 
 
 def digest(spans: Column) -> Column:
@@ -166,17 +297,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with each secret's characters replaced by [SECRET]; texts without any stay as they are."""
-    cand = materialize(candidates(postings(docs)), spark).withColumnRenamed("doc_id", "_id")
-    if fits_broadcast(cand, 24):
-        cand = F.broadcast(cand)
-    rows = docs.join(cand, docs.doc_id.eqNullSafe(cand._id), "left")
-    text = F.col("text")
-    spans = []
-    for number, rule in enumerate(RULES):
-        mask = F.coalesce(F.col("cand"), F.lit(0)).bitwiseAND(F.lit(1 << number)) != 0 if rule.conjunctions() else F.lit(True)
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        spans.append(F.coalesce(F.when(mask & text.rlike(_quick(rule)), _runs(text, rule)), none))
-    merged = F.array_sort(F.flatten(F.array(*spans)))
+    rows = _verified(docs, spark, RULES)
+    text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -184,9 +306,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         gap = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    cut = F.aggregate(merged, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("_spans", F.when(text.isNotNull(), F.size(merged)))
-    return rows.withColumn("text", F.when(F.col("_spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return rows.select(F.col("doc").withField("text", F.when(F.size("spans") > 0, cut).otherwise(text)).alias("doc")).select("doc.*")
 
 
 def oracle() -> str:
