@@ -1,19 +1,20 @@
 """Token ids in succinct files: a wavelet matrix for each shard of documents.
 
 Documents are dealt by ranges of doc_id and sorted; a task encodes its documents one after another
-and closes a shard whenever its ids reach SHARD_TOKENS. A shard is one file: the header with the
-documents' ids and lengths, and the wavelet matrix of all the shard's ids - for every bit of an id,
-from the highest, the bits of the ids in their order at that level, zeros before ones at the next,
-with running counts for rank - as one zstandard frame. Access, counts and the places of an id are
-answered from the file alone, without decoding the ids.
+and closes a shard whenever its ids reach SHARD_TOKENS. A shard is one file: a header, the documents'
+ids and lengths, and the wavelet matrix of all the shard's ids - for every bit of an id, from the
+highest, the bits of the ids in their order at that level, zeros before ones at the next. Each plane
+is a zstandard frame of its own, and so is its directory of running counts, which answers rank at
+once and select by a search; the header tells where they are, and a reader inflates a plane when it
+first asks for it. Access, counts and the places of an id are answered without decoding the ids.
 
 The files are the binary column of a Parquet table in the shared folder (task, number, n_docs,
 n_tokens, file), so that any store Spark writes to can hold them and a lost task is written anew.
 
 Encoding works on units that the byte-level pre-tokenizer can't join - a word with its blank, the
-rest of a run of white space - and keeps the ids of units it has met; what is new goes to the
-tokenizers library in batches. Texts that hold a special token's string, or the separators that
-engines class differently, are given to the library whole.
+rest of a run of white space - and keeps the ids of units it has met; a new one goes to the
+tokenizers library. Texts that hold a special token's string, or the separators that engines class
+differently, are given to the library whole.
 
 Defined results: a null text counts as empty and has the end id alone; doc_ids that repeat are
 ordered by text, null ids come last; extra columns are ignored; an empty table gives no file and an
@@ -27,7 +28,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,14 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 #: Ones before each such many bits are stored, for rank.
 RANK_STEP = 512
-MAGIC = b"WVM1"
-#: Units kept per worker, of at most so many characters.
-KEPT_UNITS, KEPT_LENGTH = 300_000, 40
+MAGIC = b"WVM2"
+#: Units kept per worker, twice, and their characters.
+KEPT_UNITS, KEPT_CHARS = 400_000, 16 << 20
 
 #: A word of Latin letters with its blank, if what follows is surely none; other runs; white space as the pre-tokenizer takes it.
 _UNITS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f]|$)| ?\S+|\s+(?!\S)|\s+")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_ASCII_UNITS = re.compile(r" ?[A-Za-z]+| ?\S+|\s+(?!\S)|\s+")
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -59,31 +61,33 @@ def _visible_bytes() -> dict[int, int]:
 
 _VISIBLE = _visible_bytes()
 _UNSURE = re.compile(r"[\x1c-\x1f\x85᠎​-‍⁠﻿]")
+_ASCII_UNSURE = re.compile("[\x1c-\x1f]")
 
 
 class WaveletMatrix:
-    """Bit planes over a sequence of ids, with rank and select."""
+    """Bit planes over a sequence of ids, with rank and select. `planes` and `ranks` are lists, or what reads them from a file."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: Sequence[np.ndarray], zeros: list[int], ranks: Sequence[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = [self._ranks(p) for p in planes]
+        self.ranks = [self._ranks(p) for p in planes] if ranks is None else ranks
 
     @staticmethod
     def _ranks(plane: np.ndarray) -> np.ndarray:
-        ones = np.bitwise_count(plane).astype(np.int64)
-        step = RANK_STEP // 8
-        pad = -len(ones) % step
-        return np.concatenate(([0], np.cumsum(np.pad(ones, (0, pad)).reshape(-1, step).sum(axis=1))))
+        """Ones before each RANK_STEP bits, and all."""
+        step = RANK_STEP // 64
+        words = np.frombuffer(plane.tobytes() + bytes(-len(plane) % (RANK_STEP // 8)), np.uint64)
+        return np.concatenate(([0], np.cumsum(np.bitwise_count(words).reshape(-1, step).sum(axis=1, dtype=np.int64))))
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
         planes, zeros, order = [], [], ids.astype(np.uint16) if bits <= 16 else ids
         for k in reversed(range(bits)):
-            one = (order >> k & 1).astype(bool)
+            one = (order & order.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one))
-            zeros.append(int(len(one) - one.sum()))
-            order = np.concatenate((order[~one], order[one]))
+            low = order[~one]
+            zeros.append(len(low))
+            order = np.concatenate((low, order[one]))
         return cls(len(ids), planes, zeros)
 
     def rank1(self, level: int, at: int) -> int:
@@ -153,31 +157,65 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: list[int | None], lens: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's file."""
+    """A shard's file: the magic, the header's length, the header, and the frames it places."""
     m = WaveletMatrix.build(ids)
-    head = json.dumps({"n": m.n, "docs": len(doc_ids), "zeros": m.zeros}).encode()
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
     missing = np.packbits(np.array([d is None for d in doc_ids], bool)).tobytes()
-    body = b"".join([struct.pack("<I", len(head)), head, keys, missing, lens.astype("<i8").tobytes(), *[p.tobytes() for p in m.planes]])
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(body)
+    small, body = zstandard.ZstdCompressor(level=1), []
+    body.append(small.compress(keys + missing + lens.astype("<i8").tobytes()))
+    for plane, ranks in zip(m.planes, m.ranks, strict=True):
+        body += [small.compress(plane.tobytes()), small.compress(ranks.astype("<i8").tobytes())]
+    head = json.dumps({"n": m.n, "docs": len(doc_ids), "zeros": m.zeros, "frames": [len(b) for b in body]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
+
+
+class _Frames:
+    """Every other frame of a file from a first one on, as arrays; each is inflated once it is asked for."""
+
+    def __init__(self, data: bytes, places: list[tuple[int, int]], kind: str):
+        self.data, self.places, self.kind = data, places, kind
+        self.open: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, level: int) -> np.ndarray:
+        if not 0 <= level < len(self.places):
+            raise IndexError(level)
+        if level not in self.open:
+            at, size = self.places[level]
+            self.open[level] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[at : at + size]), self.kind)
+        return self.open[level]
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """doc_ids, tokens of each document, and the matrix of a shard's file."""
+    """doc_ids, tokens of each document, and the matrix of a shard's file, whose planes are read when used."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
-    body = zstandard.ZstdDecompressor().decompress(data[4:])
-    size = struct.unpack_from("<I", body)[0]
-    head = json.loads(body[4 : 4 + size])
-    at, docs, n = 4 + size, head["docs"], head["n"]
-    keys = np.frombuffer(body, "<i8", docs, at).tolist()
-    missing = np.unpackbits(np.frombuffer(body, np.uint8, -(-docs // 8), at + 8 * docs))[:docs]
-    at += 8 * docs + -(-docs // 8)
-    lens = np.frombuffer(body, "<i8", docs, at)
-    at += 8 * docs
-    wide = -(-n // 8)
-    planes = [np.frombuffer(body, np.uint8, wide, at + i * wide) for i in range(len(head["zeros"]))]
-    return [None if x else k for k, x in zip(keys, missing, strict=True)], lens, WaveletMatrix(n, planes, head["zeros"])
+    size = struct.unpack_from("<I", data, 4)[0]
+    head = json.loads(data[8 : 8 + size])
+    ends = np.cumsum([8 + size, *head["frames"]]).tolist()
+    places = list(zip(ends[:-1], head["frames"], strict=True))
+    own = zstandard.ZstdDecompressor().decompress(data[places[0][0] : ends[1]])
+    docs = head["docs"]
+    keys = np.frombuffer(own, "<i8", docs).tolist()
+    missing = np.unpackbits(np.frombuffer(own, np.uint8, -(-docs // 8), 8 * docs))[:docs]
+    lens = np.frombuffer(own, "<i8", docs, 8 * docs + -(-docs // 8))
+    matrix = WaveletMatrix(head["n"], _Frames(data, places[1::2], "u1"), head["zeros"], _Frames(data, places[2::2], "<i8"))
+    return [None if x else k for k, x in zip(keys, missing, strict=True)], lens, matrix
+
+
+class _Memory(dict):
+    """Units and their ids; a unit that is new is taken over from the memory before, or encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        self.encode, self.older, self.chars = encode, older, 0
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit) or self.encode(unit)
+        self[unit] = ids
+        self.chars += len(unit)
+        return ids
 
 
 class UnitEncoder:
@@ -190,39 +228,34 @@ class UnitEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(self.tokenizer.to_str())
         self.byte_level = kind.get("normalizer") is None and (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"].get("add_prefix_space")
-        #: Units met lately and before; what is met again moves to the first.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model.tokenize
+        self.known = _Memory(self._one, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of units that aren't known; long ones aren't kept."""
-        if len(self.known) > KEPT_UNITS:
-            self.known, self.older = {}, self.known
-        found = {u: self.older[u] for u in missing if u in self.older}
-        fresh = list(missing.difference(found))
-        if self.byte_level:  # a word is one pre-token: the library's model encodes it alone
-            split = self.tokenizer.model.tokenize
-            words = [u for u in fresh if _WORD.fullmatch(u)]
-            for u in words:
-                found[u] = array("I", [t.id for t in split(u.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
-            fresh = [u for u in fresh if u not in found]
-        for lo in range(0, len(fresh), 8192):
-            part = fresh[lo : lo + 8192]
-            found.update(zip(part, self.whole(part), strict=True))
-        self.known.update((u, ids) for u, ids in found.items() if len(u) <= KEPT_LENGTH)
-        return found
+    def _one(self, unit: str) -> bytes:
+        if self.byte_level and _WORD.fullmatch(unit):  # one pre-token: the library's model encodes it alone
+            return array("I", [t.id for t in self.model(unit.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def _units(self, text: str) -> list[str] | None:
+        """None: the text goes to the library whole."""
+        if text.isascii():
+            return None if _ASCII_UNSURE.search(text) or any(s in text for s in self.special) else _ASCII_UNITS.findall(text)
+        return None if _UNSURE.search(text) or any(s in text for s in self.special) else _UNITS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) or _UNSURE.search(t) else _UNITS.findall(t) for t in texts]
-        got = [[] if units is None else list(map(self.known.get, units)) for units in split]
-        missing = {u for units, ids in zip(split, got, strict=True) if None in ids for u, i in zip(units, ids, strict=True) if i is None}
-        if missing:
-            fresh = self._learn(missing)
-            got = [ids if None not in ids else [fresh[u] if i is None else i for u, i in zip(units, ids, strict=True)] for units, ids in zip(split, got, strict=True)]
-        return [self.whole([t])[0] if units is None else b"".join(ids) for t, units, ids in zip(texts, split, got, strict=True)]
+        if not self.byte_level:
+            return self.whole(texts)
+        if len(self.known) > KEPT_UNITS or self.known.chars > KEPT_CHARS:
+            older = dict(self.known)
+            self.known = _Memory(self._one, older)
+        out = []
+        for text in texts:
+            units = self._units(text)
+            out.append(self.whole([text])[0] if units is None else b"".join(map(self.known.__getitem__, units)))
+        return out
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
