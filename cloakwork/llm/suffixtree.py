@@ -7,7 +7,8 @@ row are summed in each task, then over the corpus; shorter contexts' counts are
 depth grows with the training texts (`depth_for`). A context of one to depth symbols is kept if its
 next symbols diverge from those of its suffix: the count times the Kullback-Leibler divergence, in
 nats, exceeds GAIN. A kept context's distribution is smoothed by that of its longest kept suffix,
-the root's by one for each symbol. A text's score follows the longest kept suffix of what came
+with a weight of as many counts as symbols follow it (Witten and Bell); the root's by one for each
+symbol. A text's score follows the longest kept suffix of what came
 before each symbol and adds the byte's share of its class.
 
 All contexts that pass are kept: the tree is a written table of probabilities, made level by level,
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,9 +41,9 @@ from .common import discard, materialize, slices, table
 from .langid import held_out
 
 SYMBOLS, BITS, DEPTH = 64, 6, 4
-GAIN, LEAST_COUNT, SMOOTH = 24.0, 16, 6.0
+GAIN, LEAST_COUNT = 2.0, 2
 #: Bytes of the texts that share their look-ups in the tree.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 HOT_WORDS = 1 << 17
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
@@ -74,11 +74,11 @@ def canonical(text: str | None) -> list[bytes]:
 
 
 def depth_for(symbols: int) -> int:
-    """The depth d at which 32 ** d contexts could each be met LEAST_COUNT times; DEPTH at least.
+    """The depth for so many training symbols: a hundred times the text for each further one; DEPTH at least.
 
-    Codes are longs and hold nine symbols and the next one, which takes 5e14 symbols to fill.
+    Codes are longs and hold nine symbols and the next one.
     """
-    return min(9, max(DEPTH, int(math.log(max(1.0, symbols / LEAST_COUNT), 32))))
+    return min(9, max(DEPTH, int(1.4 + math.log(max(1, symbols), 100))))
 
 
 def _stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +209,8 @@ def grow(grams: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame
             ratio = F.try_divide(F.col("n").cast("double"), F.col("total") * F.col("share"))
             out = out.withColumn("gain", F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(ratio))).over(own))
             kept = F.coalesce((F.col("gain") > GAIN) & (F.col("total") >= LEAST_COUNT), F.lit(False))
-            out = out.withColumn("p", F.when(kept, (F.col("n") + SMOOTH * F.col("up_p")) / (F.col("total") + SMOOTH)).otherwise(F.col("up_p"))).withColumn("state", F.when(kept, d).otherwise(F.col("up_state")))
+            out = out.withColumn("kinds", F.sum((F.col("n") > 0).cast("long")).over(own))
+            out = out.withColumn("p", F.when(kept, (F.col("n") + F.col("kinds") * F.col("up_p")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("up_p"))).withColumn("state", F.when(kept, d).otherwise(F.col("up_state")))
         made = materialize(out.select("gram", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("share"), "p", "state"), spark)
         for x in (level, up):
             discard(x, spark)
@@ -256,18 +257,18 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
     shared = spark.sparkContext.broadcast((model, byte_shares(seen)))
     found = grams.select("gram", "chunk").join(tree, "gram").select("chunk", "gram", F.col("logp").cast("float").alias("logp"))
     dealt = texts.withColumn("is_text", F.lit(True)).unionByName(found.withColumn("is_text", F.lit(False)), allowMissingColumns=True)
-    dealt = dealt.select("doc_id", "held_out", "text", "chunk", "is_text", "gram", "logp").repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    dealt = dealt.select("doc_id", "held_out", "text", "chunk", "is_text", "gram", "logp").repartition("chunk").sortWithinPartitions("chunk", "is_text", "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, byte_logp = shared.value
         known = {w.encode(): (n, model.log(n)) for w, n in model.hot.items()}
         end_n, end_log = known.get(b"", (0, model.log(0)))
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        index = logp = None
+        keys = logp = None
 
         def pieces() -> Iterator[pa.RecordBatch]:
-            """The texts, once `index` and `logp` hold the look-ups of their chunk."""
-            nonlocal parts, index, logp
+            """The texts, once `keys`, in order, and `logp` hold the look-ups of their chunk."""
+            nonlocal parts, keys, logp
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -278,18 +279,19 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
                         parts.append((np.asarray(part.column(5)), np.asarray(part.column(6))))
                         continue
                     if parts:  # a chunk's look-ups come before its texts
-                        keys, first = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
-                        index, logp = pd.Index(keys), np.concatenate([v for _, v in parts])[first].astype(np.float64)
+                        keys, logp = (np.concatenate(c) for c in zip(*parts, strict=True))
                         parts = []
                     yield from slices(iter([part]), "text", 2 << 20)
 
         for batch in pieces():
             texts = [canonical(t) for t in batch.column(2).to_pylist()]
             code, data, ends = _stream(texts, depth)
-            at = index.get_indexer(code)
-            if (at < 0).any():
+            order = np.argsort(code)
+            at = np.empty(len(code), np.int64)
+            at[order] = np.searchsorted(keys, code[order])
+            if (keys[np.minimum(at, len(keys) - 1)] != code).any():
                 raise AssertionError("a symbol run without its look-up")
-            scores = np.add.reduceat(logp[at] + byte_logp[data], np.concatenate(([0], ends[:-1])))
+            scores = np.add.reduceat(logp[at].astype(np.float64) + byte_logp[data], np.concatenate(([0], ends[:-1])))
             base, sure, rare, times, cuts = [], [], [], [], [0]
             for words in texts:
                 total, n = end_log, int(end_n > 0)

@@ -286,13 +286,14 @@ def test_suffix_tree_keeps_all_contexts(spark):
     suffixes = r.choice(np.arange(64 * 64, 64**3), 600, replace=False)
     contexts = (np.arange(1, 64)[:, None] * 64**3 + suffixes).ravel()
     grams = {int(c) * 64 + int(x): 100 for c, x in zip(contexts, r.integers(1, 64, len(contexts)))}
-    got = {g.gram: (g.logp, g.state) for g in suffixtree.grow(spark.createDataFrame(list(grams.items()), "gram long, n long"), spark).collect()}
+    got = {g.gram: (g.logp, g.state) for g in suffixtree.grow(spark.createDataFrame(list(grams.items()), "gram long, n long"), spark, 4).collect()}
     assert len(got) == len(contexts) and all(state == 4 for _, state in got.values())
-    count, total = Counter(), Counter()
+    count, total, kinds = Counter(), Counter(), {}
     for g, n in grams.items():
         for d in range(5):
             count[d, g % 64 ** (d + 1)] += n
             total[d, g % 64 ** (d + 1) // 64] += n
+            kinds.setdefault((d, g % 64 ** (d + 1) // 64), set()).add(g % 64)
     gain = Counter()
     for (d, g), n in count.items():
         up = d - 1, g % 64**d
@@ -302,7 +303,7 @@ def test_suffix_tree_keeps_all_contexts(spark):
         for d in range(1, 5):
             c = d, g % 64 ** (d + 1) // 64
             if gain[c] > suffixtree.GAIN and total[c] >= suffixtree.LEAST_COUNT:
-                p = (count[d, g % 64 ** (d + 1)] + suffixtree.SMOOTH * p) / (total[c] + suffixtree.SMOOTH)
+                p = (count[d, g % 64 ** (d + 1)] + len(kinds[c]) * p) / (total[c] + len(kinds[c]))
         assert got[g][0] == pytest.approx(math.log10(p))
     assert suffixtree.depth_for(10**6) == 4 < suffixtree.depth_for(10**9) < suffixtree.depth_for(10**12)
 
