@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fits_broadcast, materialize, numbered, table
+from .common import WORD, discard, fits_broadcast, materialize, numbered, scratch, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A document may be taken so many times at most.
@@ -189,10 +189,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
     rows = numbered(docs, spark)
-    sized = materialize(sizes(rows), spark)
-    copies = draw(sized, targets(sized), spark).where("copies > 0").select("row", F.col("copies").alias("_copies"))
-    copies = materialize(copies, spark)
-    if fits_broadcast(copies, 24):
-        copies = F.broadcast(copies)
-    kept = rows.join(copies, "row")
-    return kept.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    with scratch(spark):
+        sized = materialize(sizes(rows.select("row", "doc.doc_id", "doc.source", "doc.text")), spark)
+        copies = draw(sized, targets(sized), spark).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+        copies = materialize(copies, spark, 1)
+    copies = F.broadcast(copies) if fits_broadcast(copies, 24) else copies.hint("shuffle_hash")
+    kept = rows.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return kept.select("doc.*")

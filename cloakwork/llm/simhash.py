@@ -8,7 +8,8 @@ fingerprints are laid down as bit planes, in blocks of SLICE; a fingerprint is h
 block at once by adding, plane by plane, the differing bits to carry-save counters that are bitwise
 integers themselves, and leaves the block as soon as all in it exceed the radius. What a fingerprint
 links with leaves the block's open set, so a bucket gives one edge per fingerprint at most and
-never its pairs.
+never its pairs. Short buckets share a block, which is held against itself shifted by 1, 2, ...
+places. Buckets of very many members are cut into parts, and each pair of parts is a group.
 
 `stage` links by similarity of the sets of five-word shingles, SIMILAR or more. Texts of equal sets are one
 to begin with; the others meet in bands of minimum hashes, and there the sets themselves are compared.
@@ -31,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, numbered, slices, table
+from .common import components, discard, in_parts, marked, materialize, numbered, scratch, slices, table
 
 BLOCKS, AGREE = 6, 2
 #: Fingerprints in a block of bit planes.
 SLICE = 4096
-#: Buckets of fewer fingerprints are compared one by one: planes would cost more than they save.
-FEW = 24
+#: Buckets of up to so many fingerprints share blocks and are compared with their neighbours at all distances.
+SHORT = 32
+#: Members of a bucket that meet in one group: fingerprints, and sets of shingles.
+MOST_FINGERPRINTS, MOST_SETS = 1 << 16, 2048
 SEED = 42
 
 #: Shared shingles over all shingles of a link.
@@ -173,11 +176,18 @@ class _Planes:
 
     def near(self, fp: int, radius: int, open_: int) -> int:
         """The fingerprints of the open set within the radius, as a bit set."""
+        return self._within((p ^ self.all if fp >> k & 1 else p for k, p in enumerate(self.planes)), radius, open_)
+
+    def near_shifted(self, shift: int, radius: int, open_: int) -> int:
+        """The fingerprints of the open set within the radius of the one `shift` places after them."""
+        return self._within((p ^ p >> shift for p in self.planes), radius, open_)
+
+    def _within(self, differing: Iterator[int], radius: int, open_: int) -> int:
+        """Where at most `radius` of the planes are set, within the open set: carry-save counters over all at once."""
         counters = [0] * max(1, radius.bit_length())
         over = ~open_
         flip = self.all
-        for k, plane in enumerate(self.planes):
-            carry = plane ^ flip if fp >> k & 1 else plane
+        for k, carry in enumerate(differing):
             for i, c in enumerate(counters):
                 if not carry:
                     break
@@ -218,18 +228,6 @@ def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     takes each fingerprint out of the open sets once it is found. fps: longs, or a row of longs each."""
     fps = fps.reshape(len(fps), -1)
     values = [int.from_bytes(row.tobytes(), "little") for row in np.ascontiguousarray(fps, "<u8")]
-    if len(fps) < FEW:
-        left, edges = list(range(len(fps))), []
-        while left:
-            root = left.pop(0)
-            todo = [root]
-            while todo and left:
-                fp = values[todo.pop()]
-                found = [i for i in left if (values[i] ^ fp).bit_count() <= radius]
-                left = [i for i in left if (values[i] ^ fp).bit_count() > radius] if found else left
-                todo += found
-                edges += [(i, root) for i in found]
-        return edges
     blocks = [(lo, _Planes(fps[lo : lo + SLICE])) for lo in range(0, len(fps), SLICE)]
     open_ = [p.all for _, p in blocks]
     edges = []
@@ -249,30 +247,68 @@ def bucket_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def packed_edges(fps: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges (index, index) that join the fingerprints of each of many short buckets, laid one after another.
+
+    They share blocks of bit planes: the planes are held against themselves shifted by 1, 2, ... places,
+    so that every pair of a bucket is compared in a few operations for all buckets of the block.
+    """
+    fps = fps.reshape(len(fps), -1)
+    edges: list[tuple[int, int]] = []
+    stops = np.cumsum(sizes)
+    bucket = 0
+    lo = 0
+    while bucket < len(sizes):
+        last = max(bucket + 1, int(np.searchsorted(stops, lo + SLICE, "right")))
+        hi = int(stops[last - 1])
+        block, own = _Planes(fps[lo:hi]), sizes[bucket:last]
+        ends = np.repeat(np.cumsum(own), own)
+        root = list(range(hi - lo))
+        for shift in range(1, int(own.max())):
+            paired = np.arange(hi - lo) + shift < ends  # of one bucket
+            mask = int.from_bytes(np.packbits(paired, bitorder="little").tobytes(), "little")
+            for i in _members(block.near_shifted(shift, radius, mask)):
+                a, b = i, i + shift
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    edges.append((lo + i + shift, lo + i))
+        bucket, lo = last, hi
+    return edges
+
+
 def links(fps: DataFrame, radius: int, columns: list[str]) -> DataFrame:
-    """(key, `columns` with the distinct fingerprints' bits, node) -> edges (u, v) between nodes that meet in a bucket."""
+    """(key, i, j, `columns` with the distinct fingerprints' bits, node) -> edges (u, v) between nodes that meet in a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # of the last bucket, which may go on
+        held: list[tuple[np.ndarray, ...]] = []  # of the last group, which may go on
 
-        def close(key, node, *words):
+        def close(key, i, j, node, *words):
             fp = np.stack(words, axis=1).view(np.uint64)
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            u, v = [], []
-            for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
-                ids = node[a:b]
-                for i, j in bucket_edges(fp[a:b], radius):
-                    u.append(ids[i])
-                    v.append(ids[j])
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begins = np.concatenate(([0], cuts))
+            sizes = np.diff(np.concatenate((begins, [len(key)])))
+            edges: list[tuple[int, int]] = []
+            short = (sizes > 1) & (sizes <= SHORT)
+            if short.any():
+                at = np.flatnonzero(np.repeat(short, sizes))
+                edges += [(int(at[a]), int(at[b])) for a, b in packed_edges(fp[at], sizes[short], radius)]
+            for k in np.flatnonzero(sizes > SHORT).tolist():
+                lo = int(begins[k])
+                edges += [(lo + a, lo + b) for a, b in bucket_edges(fp[lo : lo + int(sizes[k])], radius)]
+            ends = np.array(edges, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], ["u", "v"])
 
         for batch in batches:
             cols = tuple(np.asarray(c) for c in batch.columns)
             if not len(cols[0]):
                 continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # keys are sorted in a partition
-            if held and held[0][0][0] == cols[0][-1]:
+            other = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            if held and not last and all(held[0][k][0] == cols[k][-1] for k in range(3)):
                 held.append(cols)
                 continue
             whole = [*held, tuple(c[:last] for c in cols)]
@@ -281,15 +317,22 @@ def links(fps: DataFrame, radius: int, columns: list[str]) -> DataFrame:
         if held:
             yield close(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return fps.select("key", "node", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return fps.select("key", "i", "j", "node", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def groups(distinct: DataFrame, edges: DataFrame, spark: SparkSession, columns: list[str]) -> DataFrame:
-    """distinct(`columns`, low, node) -> (`columns`, component_id): the smallest doc_id that edges between nodes reach."""
-    found = components(spark, edges).withColumnRenamed("node", "_node")
-    member = distinct.join(found, F.col("node") == F.col("_node"), "left").select(*columns, "low", F.coalesce("root", "node").alias("root"))
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    return member.join(low, "root").select(*columns, "component_id")
+    """distinct(`columns`, low, node) -> (`columns`, root, component_id), written: the smallest doc_id that edges between nodes reach.
+
+    Members and roots are written before they are joined: a group of very many is then split.
+    """
+    found = components(spark, edges)
+    member = distinct.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    member = materialize(member.select(*columns, "low", F.coalesce("root", "node").alias("root")), spark)
+    low = materialize(member.groupBy("root").agg(F.min("low").alias("component_id")), spark)
+    out = materialize(member.join(low, "root").select(*columns, "root", "component_id"), spark, 1)
+    for x in (found, member, low):
+        discard(x, spark)
+    return out
 
 
 def simhash_groups(docs: DataFrame, spark: SparkSession, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -297,31 +340,34 @@ def simhash_groups(docs: DataFrame, spark: SparkSession, radius: int = 4, shingl
     if radius > BLOCKS - AGREE:
         raise ValueError(f"the blocks find pairs within {BLOCKS - AGREE} bits")
     fps = materialize(fingerprints(docs, shingle), spark)
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), spark)
-    edges = links(distinct.select(F.explode(bucket_keys()).alias("key"), "fp", "node"), radius, ["fp"])
-    return fps.join(groups(distinct, edges, spark, ["fp"]), "fp").select("doc_id", "fp", "component_id")
+    with scratch(spark):
+        distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), spark)
+        met = in_parts(distinct.select(F.explode(bucket_keys()).alias("key"), "fp", "node"), spark, MOST_FINGERPRINTS)
+        edges = materialize(links(met, radius, ["fp"]), spark)
+        found = groups(distinct, edges, spark, ["fp"])
+    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def _similar_links(sets: DataFrame) -> DataFrame:
-    """(key, node, hashes binary) -> edges (u, v) between nodes that meet in a bucket and are similar."""
+    """(key, i, j, node, hashes binary) -> edges (u, v) between nodes that meet in a group and are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, held = None, [], []
+        now, nodes, held = None, [], []
 
         def close() -> pa.RecordBatch:
             edges = similar_edges(held) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in edges], pa.int64()), pa.array([nodes[j] for _, j in edges], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for k, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
+            for *group, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now:
                     yield close()
-                    key, nodes, held = k, [], []
+                    now, nodes, held = group, [], []
                 nodes.append(node)
                 held.append(np.frombuffer(hashes, np.uint64))
         yield close()
 
-    return sets.select("key", "node", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return sets.select("key", "i", "j", "node", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
@@ -341,26 +387,26 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     fps = materialize(rows.select("row", "doc_id", "text").mapInArrow(sketched, f"row long, doc_id {kind}, k0 long, k1 long, keys array<long>"), spark)
-    distinct = materialize(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"), F.min("row").alias("node")), spark)
-    met = distinct.select(F.explode("keys").alias("key"), "node")
-    # Buckets of one are left out, and all but one of those with the same members.
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
-    buckets = met.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
-    met = materialize(met.join(buckets.select("key"), "key"), spark)
-    sets = rows.join(met.select(F.col("node").alias("row")).distinct(), "row").select("row", "text").mapInArrow(shingled, "node long, hashes binary")
-    sets = materialize(sets, spark)
-    edges = _similar_links(met.join(sets, "node"))
-    found = components(spark, edges).withColumnRenamed("node", "_node")
-    for x in (met, sets):
-        discard(x, spark)
-    member = distinct.join(found, F.col("node") == F.col("_node"), "left").select("k0", "k1", "low", F.coalesce("root", "node").alias("root"))
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(member.join(low, "root").drop("low"), ["k0", "k1"]).select("row", "doc_id", "root", "component_id")
+    with scratch(spark):
+        distinct = materialize(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"), F.min("row").alias("node")), spark)
+        met = distinct.select(F.explode("keys").alias("key"), "node")
+        # Buckets of one are left out, and all but one of those with the same members.
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+        buckets = met.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
+        buckets = materialize(buckets.select("key"), spark)
+        met = materialize(met.join(buckets, "key"), spark)
+        # The texts that share a band, and few others: their sets alone are shuffled.
+        near = marked(rows.select("row", "text"), "row", met.select("node").distinct(), "_maybe").where("_maybe")
+        sets = materialize(near.select("row", "text").mapInArrow(shingled, "node long, hashes binary"), spark)
+        edges = materialize(_similar_links(in_parts(met, spark, MOST_SETS).join(sets, "node")), spark)
+        found = groups(distinct.drop("keys"), edges, spark, ["k0", "k1"])
+    return fps.join(found, ["k0", "k1"]).select("row", "doc_id", "root", "component_id")
 
 
 def similar_groups(docs: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id), a row for each row."""
-    return similar_rows(numbered(docs.select("doc_id", "text"), spark), spark, shingle).select("doc_id", "component_id")
+    rows = numbered(docs.select("doc_id", "text"), spark)
+    return similar_rows(rows.select("row", "doc.doc_id", "doc.text"), spark, shingle).select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,8 +421,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a kept doc_id one stays.
     """
     rows = numbered(docs, spark)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    kept = similar_rows(rows, spark).groupBy("root").agg(first).select("first.*")
-    kept = materialize(kept, spark)
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
-    return rows.join(named.unionByName(kept.where("doc_id is null").select("row")), "row", "left_semi").select(*docs.columns)
+    with scratch(spark):
+        found = materialize(similar_rows(rows.select("row", "doc.doc_id", "doc.text"), spark).select("row", "doc_id", "root"), spark)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+        kept = materialize(found.groupBy("root").agg(first).select("first.*"), spark)
+        named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+        kept = named.unionByName(kept.where("doc_id is null").select("row"))
+        dropped = materialize(found.select("row").join(kept, "row", "left_anti"), spark, 1)
+    # Only what the filter names is looked up: the texts that stay are not shuffled.
+    rows = marked(rows, "row", dropped, "_maybe")
+    unsure = rows.where("_maybe").join(dropped.hint("shuffle_hash"), "row", "left_anti")
+    return rows.where("not _maybe").unionByName(unsure).select("doc.*")
