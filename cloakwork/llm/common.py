@@ -120,7 +120,7 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> bool
     return df.count() * row_bytes <= limit
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut where `column`'s bytes add up to `most`, so that long texts don't pile up."""
     for batch in batches:
         if not batch.num_rows:

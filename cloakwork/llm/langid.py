@@ -26,6 +26,8 @@ from .common import slices, table
 
 #: Buckets of hashed byte n-grams (1 to 4 bytes share them).
 BUCKETS = 1 << 14
+#: Bytes of a text that are counted at a time.
+STEP = 1 << 18
 #: Codeword bits for more languages than exhaustive codes serve.
 BITS_PER_DOUBLING = 12
 UNKNOWN = "und"
@@ -35,17 +37,19 @@ IDENTIFIED_FROM = 0.8
 FAMILIAR_FROM = 1.5
 
 
-def _grams(data: bytes) -> np.ndarray:
-    """The buckets of all n-grams of a text: lower-case bytes, white space and punctuation as one blank."""
-    b = _FOLD[np.frombuffer(data, np.uint8)].astype(np.uint32)
-    out = [b]
-    code = b
-    for n in (2, 3, 4):
-        if len(b) < n:
-            break
-        code = code[:-1] * np.uint32(257) + b[n - 1 :]
-        out.append((code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(18))
-    return np.concatenate(out)
+def _counts(data: bytes) -> np.ndarray:
+    """How often each bucket is met by the n-grams of a text: lower-case bytes, white space and punctuation as one blank."""
+    b = _FOLD[np.frombuffer(data, np.uint8)]
+    out = np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(b), STEP):  # the n-grams that begin in a step
+        code = part = b[lo : lo + STEP + 3].astype(np.uint32)
+        out += np.bincount(part[:STEP], minlength=BUCKETS)
+        for n in (2, 3, 4):
+            if len(part) < n:
+                break
+            code = code[:-1] * np.uint32(257) + part[n - 1 :]
+            out += np.bincount((code[:STEP] * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(18), minlength=BUCKETS)
+    return out
 
 
 def _fold() -> np.ndarray:
@@ -66,7 +70,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text.encode())
         for lang, texts in by_lang.items():
-            got = np.bincount(_grams(b"  ".join(texts)), minlength=BUCKETS)
+            got = _counts(b"  ".join(texts))
             sums[lang] = sums[lang] + got if lang in sums else got
     rows = [(k, i, int(v[i])) for k, v in sums.items() for i in np.flatnonzero(v)]
     if rows:
@@ -88,7 +92,7 @@ class CodeModel:
     ambiguous_below: float = 0.5
 
     def _margin(self, data: bytes) -> np.ndarray:
-        counts = np.bincount(_grams(data), minlength=BUCKETS)
+        counts = _counts(data)
         return self.weights @ counts / max(1, counts.sum()) * self.bias
 
     def identified(self, data: bytes) -> bool:
@@ -101,8 +105,8 @@ class CodeModel:
         code = self.codes[self.langs.index(lang)]
         if len(code) > 1 and not (code * self._margin(data) < 0).any():
             return True
-        grams = _grams(data)
-        return float(self.familiar[grams].mean()) >= FAMILIAR_FROM
+        counts = _counts(data)
+        return float(self.familiar @ counts / max(1, counts.sum())) >= FAMILIAR_FROM
 
     def decide(self, data: bytes) -> tuple[str, float, bool]:
         if len(self.langs) == 1:

@@ -34,7 +34,7 @@ from .common import slices, table
 MARK = "▁"
 UNKNOWN = 10.0
 #: Units kept per worker, of at most so many characters; longer ones are also encoded alone.
-KEPT_UNITS, KEPT_LENGTH = 300_000, 40
+KEPT_UNITS, KEPT_LENGTH = 150_000, 40
 _UNITS = re.compile(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
 
 
