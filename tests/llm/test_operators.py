@@ -107,6 +107,38 @@ def test_bucket_edges_reach_what_pairs_reach():
         assert got == want
 
 
+def test_packed_edges_reach_what_pairs_reach():
+    """Short buckets that share bit planes give the groups that each would give alone."""
+    r = np.random.default_rng(8)
+    sizes = r.integers(2, simhash.SHORT + 1, 400)
+    fps = np.concatenate([r.integers(0, 1 << 63, 3, np.uint64)[r.integers(0, 3, n)] ^ np.uint64(1) << r.integers(0, 64, n, np.uint64) for n in sizes])
+    ends = np.cumsum(sizes)
+    want, got = list(range(len(fps))), list(range(len(fps)))
+    pairs = [(i, j) for lo, hi in zip(ends - sizes, ends) for i in range(lo, hi) for j in range(lo, i) if int(fps[i] ^ fps[j]).bit_count() <= 4]
+    for root, found in ((want, pairs), (got, simhash.packed_edges(fps, sizes, 4))):
+        for a, b in found:
+            x, y = root[a], root[b]
+            lo, hi = next((lo, hi) for lo, hi in zip(ends - sizes, ends) if lo <= a < hi)
+            root[lo:hi] = [min(x, y) if v in (x, y) else v for v in root[lo:hi]]
+    assert got == want
+
+
+def test_secret_rules_are_derived():
+    for rule in secretscan.RULES:
+        assert (rule.query is None) == (rule.kind == "hex")
+    assert secretscan.SecretRule("x", r"(?:foo|barbaz)-[0-9]+", minimum=9).probe == r"(?:foo|barbaz)-[0-9]+"
+    assert secretscan.SecretRule("x", r"key-[0-9]+", minimum=9).probe == r"key-[0-9]{5,}"
+    assert secretscan.trigrams_of(secretscan.trigram_query(r"ab[0-9]+|xyz")) == set()
+
+
+def test_stages_bear_clashing_names(spark):
+    names = "doc_id long, text string, lang string, source string, cand int, _id int, row int, copies int, spans int"
+    docs = spark.createDataFrame([(i, f"password=abcdefgh{i} and words {i}", "en", "a", 1, 2, 3, 4, 5) for i in range(4)], names)
+    for stage in (simhash.stage, secretscan.stage, mixing.stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} <= {(1, 2, 3, 4, 5)}
+
+
 def test_simhash(spark, docs, rows):
     got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.simhash_groups(docs, spark).collect()}
 
