@@ -15,7 +15,7 @@ from .spans import ENTITY, by
 MASK, PARTIAL, PSEUDONYM = "mask", "partial", "pseudonymize"
 # Values shorter than this aren't swept or reported; digits of a tag; blanks.
 LEAST, TAG = 4, 6
-DEMO_KEY = b"pii-pipeline-demo-key"
+DEMO_KEY = b"cloakwork-demo-key"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
