@@ -3,11 +3,10 @@
 Components become integers, floor(scale * x), so that scores are exact. The rows are dealt to shards
 by a hash of their content; a shard's tree splits at the median of its widest dimension and keeps a
 tight bounding box for every node. A query descends best-first: a heap of nodes ordered by the
-largest inner product their box allows, which ends when no box can reach the kth score. That kth
-score goes on from shard to shard of a task, and a first round on one shard per query gives all
-tasks a bound to begin with.
+largest inner product their box allows, which ends when no box can reach the kth score. A first
+round on one shard per query gives its kth score to the searches in all other shards.
 
-Queries come in blocks; a block meets every shard, and a shard is read once for a group of blocks.
+A shard meets all queries, in splits that bound a group; its root box is not asked beforehand.
 
 Defined results: vectors that are null or hold a null or a component that is not finite take no
 part; vectors of different lengths are not compared; the query's own id is no candidate, so rows
