@@ -3,9 +3,12 @@
 A vector is turned by three rounds of random signs and fast Hadamard transforms; its hash is the
 nearest vertex of the cross-polytope, its largest coordinate and that one's sign. TABLES tables each
 join HASHES such hashes. A vector is at home in one bucket of each table and probes those whose
-vertices come next; a pair is a candidate where one probes the other's home.
+vertices come next; a pair is a candidate where one probes the other's home. To the buckets go the classes'
+numbers and BITS signs against random planes; vectors follow only to buckets where a mate's signs
+differ in few enough places, and there every pair's cosine is computed from the whole vectors. Of
+pairs at the least cosine the signs miss about one in 100,000.
 
-Equal vectors are one class from the start. A bucket yields, for each class, the number of vectors
+Equal vectors, known by two 64-bit hashes, are one class from the start. A bucket yields, for each class, the number of vectors
 it newly links there and one edge to its group in the bucket, never the pairs: a pair is counted
 only in the first place where it meets, which both codes tell. Buckets of over PART rows are cut
 into parts; each pair of parts is a task of its own, so every pair is still compared.
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fits_broadcast, materialize, table
+from .common import components, discard, in_parts, materialize, table
 
 TABLES, HASHES, PROBES = 8, 2, 4
+BITS = 128
+SIGNS = [f"sign{i}" for i in range(BITS // 64)]
 PART = 2048
 SEED = 20
 
@@ -73,21 +78,39 @@ def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probe
     return out
 
 
+def unit(vectors: list) -> np.ndarray:
+    """Vectors of one length, scaled to length 1."""
+    v = np.stack([np.asarray(x, np.float64) for x in vectors])
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def signs(units: np.ndarray) -> np.ndarray:
+    """(rows, BITS / 64) words: on which side of each of BITS random planes a vector lies."""
+    planes = np.random.default_rng([SEED, units.shape[1], BITS]).standard_normal((units.shape[1], BITS))
+    return np.packbits(units @ planes >= 0, axis=1).view(np.int64)
+
+
+def radius(least: float) -> int:
+    """Differing signs up to which a pair may have the cosine: each differs with probability angle / pi; 4.5 deviations more."""
+    p = np.arccos(least) / np.pi
+    return int(np.ceil(BITS * p + 4.5 * np.sqrt(BITS * p * (1 - p))))
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, m, x) -> (node, m, dim, unit vector, codes) of classes of usable vectors."""
+    """(node, h1, h2, low, m, x) -> the same with the length, the signs and the codes."""
     for batch in batches:
-        node, m = (np.asarray(batch.column(i)) for i in (0, 1))
-        rows = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
+        rows = batch.column("x").to_pylist()
         dims = np.array([len(r) for r in rows])
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
-            v = np.stack([rows[i] for i in at])
-            v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the squares
-            v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-            c = codes(v)
+            v = unit([rows[i] for i in at])
+            c = codes(v).reshape(len(at), -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * c.shape[1], pa.int32()), pa.array(c.ravel()))
+            part = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[at]), pa.array(m[at]), pa.array(np.full(len(at), dim), pa.int32()), pa.array([r.tobytes() for r in v]), pa.array([r.tobytes() for r in c]), pa.array(c.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))],
-                ["node", "m", "dim", "unit", "codes", "keys"],
+                [*part.columns, pa.array(np.full(len(at), dim), pa.int32()), *(pa.array(w) for w in signs(v).T), lists],
+                [*part.schema.names, "dim", *SIGNS, "codes"],
             )
 
 
@@ -130,33 +153,15 @@ def bucket_links(t: int, bucket: int, units: np.ndarray, code: np.ndarray, m: np
     return links.astype(np.int64), root
 
 
-def _verify(least: float):
-    def close(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, i, j, part, node, m, dim, unit, code = cols
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-        out: list[list] = [[], [], []]
-        for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            t, bucket = int(key[lo] >> 40) % TABLES, int(key[lo] & ((1 << 40) - 1))
-            c = np.frombuffer(b"".join(code[lo:hi]), np.int64).reshape(hi - lo, TABLES, -1)
-            if not (c[:, t, 0] == bucket).any():
-                continue
-            u = np.frombuffer(b"".join(unit[lo:hi]), np.float64).reshape(hi - lo, -1)
-            links, root = bucket_links(t, bucket, u, c, m[lo:hi], part[lo:hi], (i[lo], j[lo]), least)
-            at = np.flatnonzero(root >= 0)
-            out[0] += node[lo + at].tolist()
-            out[1] += links[at].tolist()
-            out[2] += node[lo + root[at]].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
+def _groups(close):
+    """A mapInArrow function: calls close with the columns of whole groups, which share the first three columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # of the last group, which may go on; PART rows or a few more
+        held: list[list[np.ndarray]] = []  # of the last group, which may go on; 2 * PART rows or a few more
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(c) if k < 7 else np.array(c.to_pylist(), object) for k, c in enumerate(batch.columns)]
+            cols = [_objects(c) if pa.types.is_nested(c.type) else np.asarray(c) for c in batch.columns]
             tail = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])
             last = int(np.flatnonzero(tail)[-1]) + 1 if tail.any() else 0
             if held and not last and all(held[0][k][0] == cols[k][-1] for k in range(3)):
@@ -170,6 +175,64 @@ def _verify(least: float):
     return run
 
 
+def _objects(lists: pa.Array) -> np.ndarray:
+    out = np.empty(len(lists), object)
+    out[:] = [np.asarray(x.values) for x in lists]
+    return out
+
+
+def _bounds(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of equal key, i and j begin and end."""
+    cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cols[0])]))
+
+
+def _hopeful(most: int):
+    """(key, i, j, part, node, home, signs) -> the rows (key, i, j, part, node) with a mate of few differing signs, either at home.
+
+    Row k is held against row k + step for each step, of all groups of the batch at once.
+    """
+
+    def close(cols: list[np.ndarray]) -> pa.RecordBatch:
+        home, words = cols[5], cols[6:]
+        n = len(home)
+        begins, ends = _bounds(cols)
+        end = np.repeat(ends, ends - begins)
+        hit = np.zeros(n, bool)
+        at, step = np.arange(n), 1
+        while len(at := at[at + step < end[at]]):
+            x = at[home[at] | home[at + step]]
+            y = x + step
+            differ = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int32) for w in words)  # signed words are counted by their absolute value
+            ok = differ <= most
+            hit[x[ok]] = hit[y[ok]] = True
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols[:5]], ["key", "i", "j", "part", "node"])
+
+    return _groups(close)
+
+
+def _verify(least: float):
+    """(key, i, j, part, node, m, x, codes) -> (node, links, root): see bucket_links."""
+
+    def close(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, i, j, part, node, m, x, code = cols
+        out: list[list] = [[], [], []]
+        for lo, hi in zip(*(b.tolist() for b in _bounds(cols)), strict=True):
+            if hi - lo < 2:
+                continue
+            t, bucket = int(key[lo] >> 40) % TABLES, int(key[lo] & ((1 << 40) - 1))
+            c = np.stack(code[lo:hi]).reshape(hi - lo, TABLES, -1)
+            links, root = bucket_links(t, bucket, unit(x[lo:hi]), c, m[lo:hi], part[lo:hi], (i[lo], j[lo]), least)
+            at = np.flatnonzero(root >= 0)
+            out[0] += node[lo + at].tolist()
+            out[1] += links[at].tolist()
+            out[2] += node[lo + root[at]].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
+
+    return _groups(close)
+
+
 def usable(x: str):
     """Vectors that can link: not empty, all components finite, not all zero."""
     v = F.col(x)
@@ -180,29 +243,35 @@ def usable(x: str):
 def near_vectors(rows: DataFrame, spark: SparkSession, least: float = 0.9) -> DataFrame:
     """rows(vec_id, embedding) -> (vec_id, n_links, component_id), a row for each row."""
     ready = rows.select("vec_id", F.col("embedding").alias("x"), usable("embedding").alias("ok"))
-    classes = ready.where("ok").groupBy("x").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), spark)
-    coded = classes.select("node", "m", "x").mapInArrow(_coded, "node long, m long, dim int, unit binary, codes binary, keys array<long>")
+    ready = ready.withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64("x", F.lit(SEED))})
+    kind = ready.schema["x"].dataType.simpleString()
+    classes = ready.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"), F.first("x").alias("x"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "low", "m", "x")
+    coded = classes.mapInArrow(_coded, f"node long, h1 long, h2 long, low long, m long, x {kind}, dim int, {', '.join(w + ' long' for w in SIGNS)}, codes array<long>")
     coded = materialize(coded, spark)
     # A bucket's key: length, table, number. A class comes to a bucket once, even if it is named twice.
-    keys = F.array_distinct(F.transform("keys", lambda c, i: F.shiftleft(F.col("dim").cast("long") * TABLES + F.floor(i / PROBES).cast("long"), 40).bitwiseOR(c)))
-    slim = coded.select(F.explode(keys).alias("key"))
-    big = materialize(slim.groupBy("key").count().where(F.col("count") > PART).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), spark)
-    if fits_broadcast(big, 24):
-        big = F.broadcast(big)
-    spread = coded.select(F.explode(keys).alias("key"), "node", "m", "dim", "unit", "codes").join(big, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "m", "dim", "unit", "codes")
-    found = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(least), "node long, links long, root long")
+    keys = F.transform("codes", lambda c, i: F.shiftleft(F.col("dim").cast("long") * TABLES + F.floor(i / PROBES).cast("long"), 40).bitwiseOR(c))
+    homes = F.filter(keys, lambda k, i: i % PROBES == 0)
+    at_home = F.transform(homes, lambda k: F.struct(k.alias("key"), F.lit(True).alias("home")))
+    probing = F.transform(F.array_except(keys, homes), lambda k: F.struct(k.alias("key"), F.lit(False).alias("home")))
+    keyed = F.concat(at_home, probing)
+    met = coded.select(F.explode(keyed).alias("p"), "node", *SIGNS).select("p.key", "node", "p.home", *SIGNS)
+    # Signs alone go to all buckets; vectors go only where a mate's signs are near.
+    spread = in_parts(met, spark, PART).select("key", "i", "j", "part", "node", "home", *SIGNS)
+    hopeful = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_hopeful(radius(least)), "key long, i int, j int, part int, node long")
+    hopeful = materialize(hopeful, spark)
+    full = hopeful.join(coded.select("node", "m", "x", "codes"), "node").select("key", "i", "j", "part", "node", "m", "x", "codes")
+    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(least), "node long, links long, root long")
     found = materialize(found, spark)
+    discard(hopeful, spark)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(spark, found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    member = classes.join(linked, "node", "left").join(joined, "node", "left").select("x", "low", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    member = coded.select("node", "h1", "h2", "low", "m").join(linked, "node", "left").join(joined, "node", "left")
+    member = member.select("h1", "h2", "low", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = member.join(low, "root").select("x", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id")
+    member = member.join(low, "root").select("h1", "h2", (F.col("links") + F.col("m") - 1).alias("n_links"), "component_id")
     alone = ready.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return ready.where("ok").join(member, "x").select("vec_id", "n_links", "component_id").unionByName(alone)
+    return ready.where("ok").select("vec_id", "h1", "h2").join(member, ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

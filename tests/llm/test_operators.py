@@ -239,6 +239,26 @@ def test_vectors(spark):
     assert got[0][1] == 0 and got[80][1] == 0 and got[83] == (0, 83) and got[84] == (0, 84)
 
 
+def test_vectors_near_the_least_cosine_and_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectordedup, "PART", 16)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = r.normal(size=(300, 64))
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = r.uniform(0.9, 0.92, 300)[:, None]
+    v = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side, base[0] + r.normal(size=(200, 64)) * 0.01])
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, node string")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectordedup.near_vectors(df, spark).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    n = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert len(got) == len(v) and all(got[i][0] <= n[i] for i in range(len(v)))
+    assert sum(got[i][0] for i in range(len(v))) >= 0.99 * n.sum()
+    assert sum(got[300 + i] == (1, i) for i in range(1, 300)) >= 0.9 * 299
+    assert {got[i][1] for i in range(600, 800)} == {0}
+
+
 def test_token_files(spark, docs, rows):
     from tokenizers import Tokenizer
 
