@@ -33,7 +33,11 @@ SELECT k AS doc_id, lang,
   || 'Fecha de nacimiento: ' || lpad(CAST(k % 28 + 1 AS STRING), 2, '0') || '/' || lpad(CAST(k % 12 + 1 AS STRING), 2, '0') || '/' || CAST(1950 + k % 50 AS STRING) || chr(10)
   || 'Issued 2024-0' || CAST(k % 9 + 1 AS STRING) || '-15, ZIP ' || lpad(CAST(k % 100000 AS STRING), 5, '0') || ', CVV: ' || lpad(CAST(k % 1000 AS STRING), 3, '0') || chr(10)
   || 'MAC 0A:1B:2C:3D:4E:' || lpad(CAST(k % 100 AS STRING), 2, '0') || ' CUIT 20-' || num || '-' || CAST(k % 10 AS STRING) || ' A' || substring(num, 1, 7) || CAST(k % 10 AS STRING) || chr(10)
-  || 'Account number: ' || h1 || ' and 3 May 2021' || chr(10) || 'Repeat user' || CAST(k AS STRING) || '@mail' || CAST(n AS STRING) || '.example.com.' AS text
+  || 'Account number: ' || h1 || ' and 3 May 2021' || chr(10)
+  || 'Phone: +1 212 555 ' || lpad(CAST(k % 10000 AS STRING), 4, '0') || ', or +34 612 34 56 ' || lpad(CAST(k % 100 AS STRING), 2, '0') || ', or (212) 555-' || lpad(CAST(k % 10000 AS STRING), 4, '0') || chr(10)
+  || 'Mr. John Smith, ' || CAST(k % 900 + 1 AS STRING) || ' Oak Tree Street; Calle Mayor ' || CAST(k % 90 + 1 AS STRING) || chr(10)
+  || 'Host 2001:db8:0:0:0:0:0:' || CAST(k % 1000 AS STRING) || ' key sk-' || h1 || h2 || ' by @ann_' || CAST(k AS STRING) || chr(10)
+  || 'Driver license: D-' || num || chr(10) || 'Repeat user' || CAST(k AS STRING) || '@mail' || CAST(n AS STRING) || '.example.com.' AS text
 FROM b
 """
 _KINDS = "'CREDENTIAL','CREDIT_CARD','BANK_ACCOUNT','GOV_ID','EMAIL','IP_ADDRESS','PHONE','DATE_OF_BIRTH','PERSON','ADDRESS','USERNAME','DATE_TIME'"
