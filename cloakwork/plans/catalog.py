@@ -513,9 +513,11 @@ def carve_splits(spark, sf_dir):
     return corpus.carve(documents(spark, sf_dir).select("doc_id", "lang"), 100, 50, key="doc_id")
 
 
-@query("lang_source_crosstab", "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY lang")
+@query("lang_source_crosstab", "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2, count(*) FILTER (source IS NULL OR source NOT IN ('src0', 'src1', 'src2')) AS other FROM documents GROUP BY lang")
 def lang_source_crosstab(spark, sf_dir):
-    return corpus.crosstab(documents(spark, sf_dir).where(F.col("source").isin("src0", "src1", "src2")), "lang", "source", ["src0", "src1", "src2"])
+    """Three sources in columns of their own, all others and null in `other`."""
+    source = F.when(F.col("source").isin("src0", "src1", "src2"), F.col("source")).otherwise("other")
+    return corpus.crosstab(documents(spark, sf_dir).withColumn("source", source), "lang", "source", ["src0", "src1", "src2", "other"])
 
 
 @query("lang_source_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
