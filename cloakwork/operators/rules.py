@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.findall import find_all, slice_text
-from .spans import ENTITY, entity, let, normalize, resolve
+from .spans import FIELDS, entity, let, normalize, resolve
 
 ANY_CASE, AS_IS = "(?iuU)", "(?U)"
 BOTH = ("es", "en")
@@ -72,6 +72,8 @@ RULES: tuple[Rule, ...] = (
     Rule("person_labeled", "PERSON", 0.75, _NAME, r"(?:nombre(?:\s*(?:y\s*apellidos?|completo))?|cliente|titular|solicitante|arrendatario|arrendador|destinatario|remitente|atenci[oó]n\s*a|a\s*la\s*atenci[oó]n\s*de|name|full\s*name|customer|client|tenant|landlord|recipient|attn\.?|bill\s*to|ship\s*to)[ \t]*[:#][ \t]*"),
 )
 BY_NAME = {r.name: r for r in RULES}
+#: What a rule says of a match; the other fields of an entity are added once, behind all rules.
+FOUND = ("ord", "start", "end", "type", "score", "source", "text", "rule", "checksum", "checksum_passed", "context_keyword", "dob_context")
 
 
 def context_hit(text: Column, start: Column, end: Column, words: tuple[str, ...], same_line: bool = False, width: int = WINDOW) -> Column:
@@ -85,7 +87,7 @@ def context_hit(text: Column, start: Column, end: Column, words: tuple[str, ...]
 
 
 def scan(text: Column, rule: Rule, number: int, width: int = WINDOW) -> Column:
-    """The rule's findings in a text, scored, not yet trimmed."""
+    """The rule's findings in a text, scored, not yet trimmed: structs of the FOUND fields."""
 
     def judged(m: Column) -> Column:
         """What is known about a match, each computed once."""
@@ -106,7 +108,8 @@ def scan(text: Column, rule: Rule, number: int, width: int = WINDOW) -> Column:
         if rule.kind == "DATE_TIME":
             kind = F.when(q["dob"].isNotNull(), F.lit("DATE_OF_BIRTH")).otherwise(kind)
             score = F.when(q["dob"].isNotNull(), F.least(F.lit(0.99), score + 0.05)).otherwise(score)
-        return entity(ord=F.lit(number), start=m["start"], end=m["end"], type=kind, score=score, source=F.lit("rules"), text=m["value"], rule=F.lit(rule.name), checksum=F.lit(rule.check).cast("string"), checksum_passed=q["passed"], context_keyword=q["hit"], dob_context=q["dob"])
+        made = {"ord": F.lit(number), "start": m["start"], "end": m["end"], "type": kind, "score": score, "source": F.lit("rules"), "text": m["value"], "rule": F.lit(rule.name), "checksum": F.lit(rule.check), "checksum_passed": q["passed"], "context_keyword": q["hit"], "dob_context": q["dob"]}
+        return F.struct(*[made[k].cast(FIELDS[k]).alias(k) for k in FOUND])
 
     found = find_all(text, rule.head, rule.body, rule.tail, rule.flags)
     if rule.guard is not None:
@@ -120,7 +123,9 @@ def scan(text: Column, rule: Rule, number: int, width: int = WINDOW) -> Column:
 def detect(docs: DataFrame, rules: tuple[Rule, ...] = RULES, width: int = WINDOW, into: str = "found") -> DataFrame:
     """docs(text, lang, ...) with the rules' findings: trimmed, the strongest of overlapping ones kept, by start."""
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.col("lang")
-    none = F.array().cast(f"array<{ENTITY}>")
+    none = F.array().cast(f"array<struct<{','.join(f'`{k}`:{FIELDS[k]}' for k in FOUND)}>>")
     found = [F.when(lang.isin(*r.langs), scan(text, r, i, width)).otherwise(none) for i, r in enumerate(rules)]
     docs = docs.withColumn("_raw", F.flatten(F.array(*found)))
-    return docs.withColumn(into, resolve(normalize(text, F.col("_raw")))).drop("_raw")
+    docs = docs.withColumn("_raw", normalize(text, F.col("_raw")))
+    whole = F.transform(F.col("_raw"), lambda e: entity(**{k: e[k] for k in FOUND}))
+    return docs.withColumn(into, resolve(whole)).drop("_raw")
