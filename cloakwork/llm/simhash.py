@@ -11,9 +11,12 @@ links with leaves the block's open set, so a bucket gives one edge per fingerpri
 never its pairs. Short buckets share a block, which is held against itself shifted by 1, 2, ...
 places. Buckets of very many members are cut into parts, and each pair of parts is a group.
 
-`stage` links by similarity of the sets of five-word shingles, SIMILAR or more. Texts of equal sets are one
-to begin with; the others meet in bands of minimum hashes, and there the sets themselves are compared.
-Only texts that share a band with another set are sent there. What a text links with leaves the bucket.
+`stage` links by similarity of the sets of five-word shingles, SIMILAR or more, which is further apart than 64
+bits and equal blocks can tell: its fingerprints have 64 * WIDE bits, each distinct shingle counted once, and
+its buckets are bands of minimum hashes. Texts of equal sets are one to begin with; the others' fingerprints are
+held against the bucket's bit planes as above, with WIDE_RADIUS, and of those within it the sets themselves are
+compared: they decide. Only texts that share a band with another set are sent there. What a text links with
+leaves the bucket.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, and is
 linked like any other. Rows that repeat a doc_id are each returned, with the same component; a null
@@ -47,6 +50,9 @@ SEED = 42
 SIMILAR = 0.8
 #: A pair of similarity 0.8 shares one of the bands with probability 0.995.
 BANDS, BAND_ROWS = 18, 6
+#: Words of a wide fingerprint. Of its 256 bits a pair of similarity 0.8 differs in 38.8, give or take 5.7, and in 48 and
+#: 6.2 at worst (4 of 5 shingles); unrelated sets in 128 and 8 (110 for four shingles). The radius is 6 deviations above the worst.
+WIDE, WIDE_RADIUS = 4, 88
 
 
 def shingle_hashes(data: bytes, shingle: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -98,45 +104,70 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True), bands
 
 
-_MINS = _odd(BANDS * BAND_ROWS, 2)
+_SPREAD, _MINS = _odd(WIDE, 1), _odd(BANDS * BAND_ROWS, 2)
 
 
-def similar_edges(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE longs of a shingle set: bits set in more than half of as many further hashes of each shingle."""
+    total = np.zeros((WIDE, 64), np.int64)
+    for lo in range(0, len(hashes), 2048):
+        h = hashes[lo : lo + 2048]
+        for i, odd in enumerate(_SPREAD):
+            x = (h ^ h >> np.uint64(31)) * odd
+            total[i] += _ones((x ^ x >> np.uint64(29)) * _SPREAD[i - 1])
+    return np.packbits(total * 2 > len(hashes), axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def similar_edges(sets: list[np.ndarray], fps: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges (index, index) that join all sets of a bucket which links of SIMILAR or more reach.
 
-    A search like that of `bucket_edges`: the open sets' shingles are laid down with their owners in
-    one sorted array, which is made anew when half of the sets are gone.
+    A search like that of `bucket_edges`: the open sets within WIDE_RADIUS are found in bit planes, which are
+    made anew when half of the sets are gone; of those the sets decide. fps: the sets' wide fingerprints.
     """
+    fps = np.stack([wide_fingerprint(x) for x in sets]) if fps is None else fps
     lens = np.array([len(x) for x in sets])
+    values = [int.from_bytes(row.tobytes(), "little") for row in np.ascontiguousarray(fps, "<u8")]
     open_ = np.ones(len(sets), bool)
     edges: list[tuple[int, int]] = []
-    keys = owners = np.zeros(0, np.int64)
-    laid = len(sets) * 2
+    blocks: list[tuple[np.ndarray, _Planes]] = []
+    left, laid = len(sets), len(sets) * 2
 
     for root in range(len(sets)):
         if not open_[root]:
             continue
         open_[root] = False
+        left -= 1
         todo = [root]
-        while todo and (left := int(open_.sum())):
+        while todo and left:
             if left * 2 <= laid:
-                at = np.flatnonzero(open_)
-                keys, owners, laid = np.concatenate([sets[i] for i in at]), np.repeat(at, lens[at]), left
-                order = np.argsort(keys, kind="stable")
-                keys, owners = keys[order], owners[order]
+                at, laid = np.flatnonzero(open_), left
+                blocks = [(at[lo : lo + SLICE], _Planes(fps[at[lo : lo + SLICE]])) for lo in range(0, left, SLICE)]
             one = todo.pop()
-            lo, hi = np.searchsorted(keys, sets[one]), np.searchsorted(keys, sets[one], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            shared = np.bincount(owners[at], minlength=len(sets))
-            # in whole numbers: 4 / 5 exactly is a link
-            found = np.flatnonzero(open_ & (shared * 10 >= round(SIMILAR * 10) * (lens + lens[one] - shared)))
-            open_[found] = False
-            todo += found.tolist()
-            edges += [(int(i), root) for i in found]
+            for at, planes in blocks:
+                still = int.from_bytes(np.packbits(open_[at], bitorder="little").tobytes(), "little")
+                near = at[_members(planes.near(values[one], WIDE_RADIUS, still))] if still else at[:0]
+                # a much smaller or larger set can't be similar; in whole numbers: 4 / 5 exactly is a link
+                near = near[np.minimum(lens[near], lens[one]) * 10 >= round(SIMILAR * 10) * np.maximum(lens[near], lens[one])]
+                shared = _shared(sets[one], [sets[i] for i in near])
+                found = near[shared * 10 >= round(SIMILAR * 10) * (lens[near] + lens[one] - shared)]
+                open_[found] = False
+                left -= len(found)
+                todo += found.tolist()
+                edges += [(int(i), root) for i in found]
     return edges
 
 
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of a sorted set each of the others holds."""
+    if not others or not len(one):
+        return np.zeros(len(others), np.int64)
+    keys = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, keys), len(one) - 1)
+    held = np.concatenate(([0], np.cumsum(one[at] == keys)))
+    ends = np.cumsum([len(x) for x in others])
+    return held[ends] - held[np.concatenate(([0], ends[:-1]))]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp long); fp holds the 64 bits, signed."""
 
@@ -349,25 +380,26 @@ def simhash_groups(docs: DataFrame, spark: SparkSession, radius: int = 4, shingl
 
 
 def _similar_links(sets: DataFrame) -> DataFrame:
-    """(key, i, j, node, hashes binary) -> edges (u, v) between nodes that meet in a group and are similar."""
+    """(key, i, j, node, fp binary, hashes binary) -> edges (u, v) between nodes that meet in a group and are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, held = None, [], []
+        now, nodes, fps, held = None, [], [], []
 
         def close() -> pa.RecordBatch:
-            edges = similar_edges(held) if len(held) > 1 else []
+            edges = similar_edges(held, np.frombuffer(b"".join(fps), "<u8").reshape(-1, WIDE)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in edges], pa.int64()), pa.array([nodes[j] for _, j in edges], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for *group, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *group, node, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != now:
                     yield close()
-                    now, nodes, held = group, [], []
+                    now, nodes, fps, held = group, [], [], []
                 nodes.append(node)
+                fps.append(fp)
                 held.append(np.frombuffer(hashes, np.uint64))
         yield close()
 
-    return sets.select("key", "i", "j", "node", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+    return sets.select("key", "i", "j", "node", "fp", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> DataFrame:
@@ -383,7 +415,9 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set((t or "").encode(), shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+            sets = [shingle_set((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
+            fps = [wide_fingerprint(x).astype("<u8").tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "fp", "hashes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     fps = materialize(rows.select("row", "doc_id", "text").mapInArrow(sketched, f"row long, doc_id {kind}, k0 long, k1 long, keys array<long>"), spark)
@@ -397,7 +431,7 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
         met = materialize(met.join(buckets, "key"), spark)
         # The texts that share a band, and few others: their sets alone are shuffled.
         near = marked(rows.select("row", "text"), "row", met.select("node").distinct(), "_maybe").where("_maybe")
-        sets = materialize(near.select("row", "text").mapInArrow(shingled, "node long, hashes binary"), spark)
+        sets = materialize(near.select("row", "text").mapInArrow(shingled, "node long, fp binary, hashes binary"), spark)
         edges = materialize(_similar_links(in_parts(met, spark, MOST_SETS).join(sets, "node")), spark)
         found = groups(distinct.drop("keys"), edges, spark, ["k0", "k1"])
     return fps.join(found, ["k0", "k1"]).select("row", "doc_id", "root", "component_id")

@@ -92,6 +92,24 @@ def test_similar_edges_reach_what_pairs_reach():
     assert got == want
 
 
+def test_similar_edges_search_wide_fingerprints(monkeypatch):
+    """The bit planes name what the sets decide on, and name every pair of similarity 0.8: short sets, large ones, one within another."""
+    r = np.random.default_rng(9)
+    sets = []
+    for n in (4, 8, 20, 100, 800) * 30:
+        one = r.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(one), np.unique(np.concatenate([one, r.integers(0, 1 << 63, n // 4, np.uint64)]))]  # 0.8 exactly
+    fps = np.stack([simhash.wide_fingerprint(x) for x in sets])
+    far = [int.from_bytes((a ^ b).tobytes(), "little").bit_count() for a, b in zip(fps[::2], fps[1::2])]
+    assert max(far) <= simhash.WIDE_RADIUS and min(far) > 10
+    assert sorted(simhash.similar_edges(sets, fps)) == [(i + 1, i) for i in range(0, len(sets), 2)]
+    seen = []
+    shared = simhash._shared
+    monkeypatch.setattr(simhash, "_shared", lambda one, others: seen.append(len(others)) or shared(one, others))
+    simhash.similar_edges(sets, fps)
+    assert sum(seen) < 0.6 * len(sets)  # hardly a set but the mate is compared
+
+
 def test_bucket_edges_reach_what_pairs_reach():
     rng = np.random.default_rng(5)
     for n, width, radius in ((20, 1, 4), (200, 1, 4), (20, 4, 48), (300, 4, 48)):
