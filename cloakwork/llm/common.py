@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch: of tables that hold texts or sets of shingles, and of others.
+TEXT_ROWS, ROWS = 1000, 10_000
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of the Arrow batches that the JVM and Python workers exchange from now on: each side holds whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+#: What operators keep in a Python worker from task to task.
+_MEMORY: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """An operator's own memory in this Python worker; what other operators left there goes, for workers outlive their stages."""
+    others = [k for k in _MEMORY if k != owner]
+    for k in others:
+        _MEMORY.pop(k).clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # glibc alone
+            ctypes.CDLL(None).malloc_trim(0)
+    return _MEMORY.setdefault(owner, {})
+
+
 #: The tables written within each open `scratch`.
 _SCRATCH: list[list[DataFrame]] = []
 
 
-def materialize(df: DataFrame, spark: SparkSession, outlives: int = 0) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives a lost executor. The table outlives so many `scratch`."""
+def materialize(df: DataFrame, spark: SparkSession, outlives: int = 0, rows: int = ROWS) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives a lost executor. The table outlives so many `scratch`.
+    rows: of an Arrow batch on the way."""
     path = f"{shared_dir(spark)}/cloakwork/{uuid.uuid4().hex}"
+    batch_rows(spark, rows)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cloakwork_path = path

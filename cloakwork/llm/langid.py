@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import TEXT_ROWS, batch_rows, memory, slices, table
 
 #: Buckets of hashed byte n-grams (1 to 4 bytes share them).
 BUCKETS = 1 << 14
@@ -64,6 +64,7 @@ _FOLD = _fold()
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> the n-gram counts of each language in this task."""
+    memory("langid")
     sums: dict[str, np.ndarray] = {}
     for batch in slices(batches, "text"):
         by_lang: dict[str, list[bytes]] = {}
@@ -133,6 +134,7 @@ def codewords(n: int) -> np.ndarray:
 
 def train(docs: DataFrame) -> CodeModel:
     """Fit on all rows of docs(lang, text); what reaches the driver is BUCKETS counts for each language at most."""
+    batch_rows(docs.sparkSession, TEXT_ROWS)
     sums = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_sums, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r[0] for r in sums})
     counts = np.zeros((len(langs), BUCKETS))
@@ -157,6 +159,7 @@ def predict(docs: DataFrame, model: CodeModel, key: str = "doc_id") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("langid")
         m = shared.value
         for batch in slices(batches, "text"):
             got = [m.decide(t.encode()) if m.langs and t and any(map(str.isalpha, t)) else (UNKNOWN, 0.0, True) for t in batch.column(1).to_pylist()]
@@ -188,6 +191,7 @@ def keep_identified(docs: DataFrame, model: CodeModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("langid")
         m = shared.value
         for batch in slices(batches, "text"):
             ok = [bool(m.langs and t and any(map(str.isalpha, t)) and m.identified(t.encode())) for t in batch.column(at).to_pylist()]

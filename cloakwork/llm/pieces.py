@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import TEXT_ROWS, batch_rows, memory, slices, table
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -237,8 +237,8 @@ class PieceEncoder:
         found = {u: self.older[u] for u in missing if u in self.older}
         fresh = sorted(missing.difference(found), key=len)
         short = [u for u in fresh if len(u) <= KEPT_LENGTH]
-        for lo in range(0, len(short), 16384):
-            part = short[lo : lo + 16384]
+        for lo in range(0, len(short), 4096):
+            part = short[lo : lo + 4096]
             found.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(part, self.model.viterbi_many(part), strict=True))
         for u in fresh[len(short) :]:
             found[u] = np.array(self.model.viterbi(u), "<u4").tobytes()
@@ -270,14 +270,12 @@ class PieceEncoder:
         return _UNITS.findall(marked) if self.model.cuts else [marked] if marked else []
 
 
-_ENCODERS: dict[int, PieceEncoder] = {}
-
-
 def _encoder(shared: Broadcast) -> PieceEncoder:
-    if shared._path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[shared._path] = PieceEncoder(shared.value)
-    return _ENCODERS[shared._path]
+    encoders = memory("pieces")
+    if shared._path not in encoders:
+        encoders.clear()
+        encoders[shared._path] = PieceEncoder(shared.value)
+    return encoders[shared._path]
 
 
 def default_pieces() -> str:
@@ -292,6 +290,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
     round_trip: whether the ids decode to the text.
     """
     spark = docs.sparkSession
+    batch_rows(spark, TEXT_ROWS)
     model = PieceModel.load(path or default_pieces())
     shared = spark.sparkContext.broadcast(model)  # the size of the vocabulary
     rows = docs.select(*keep, "text")
@@ -303,7 +302,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
         m = e.model
         is_byte = np.zeros(len(m.content), bool)
         is_byte[m.byte_ids] = True
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             raw = e.encode(texts)
             arrays = [np.frombuffer(r, "<u4") for r in raw]

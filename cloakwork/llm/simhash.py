@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, in_parts, marked, materialize, numbered, scratch, slices, table
+from .common import TEXT_ROWS, components, discard, in_parts, marked, materialize, memory, numbered, scratch, slices, table
 
 BLOCKS, AGREE = 6, 2
 #: Fingerprints in a block of bit planes.
@@ -409,6 +409,7 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("simhash")
         for batch in slices(batches, "text"):
             found = [sketch(shingle_set((t or "").encode(), shingle)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["row", "doc_id", "k0", "k1", "keys"])
@@ -420,7 +421,7 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "fp", "hashes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    fps = materialize(rows.select("row", "doc_id", "text").mapInArrow(sketched, f"row long, doc_id {kind}, k0 long, k1 long, keys array<long>"), spark)
+    fps = materialize(rows.select("row", "doc_id", "text").mapInArrow(sketched, f"row long, doc_id {kind}, k0 long, k1 long, keys array<long>"), spark, rows=TEXT_ROWS)
     with scratch(spark):
         distinct = materialize(fps.groupBy("k0", "k1").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"), F.min("row").alias("node")), spark)
         met = distinct.select(F.explode("keys").alias("key"), "node")
@@ -431,8 +432,8 @@ def similar_rows(rows: DataFrame, spark: SparkSession, shingle: int = 5) -> Data
         met = materialize(met.join(buckets, "key"), spark)
         # The texts that share a band, and few others: their sets alone are shuffled.
         near = marked(rows.select("row", "text"), "row", met.select("node").distinct(), "_maybe").where("_maybe")
-        sets = materialize(near.select("row", "text").mapInArrow(shingled, "node long, fp binary, hashes binary"), spark)
-        edges = materialize(_similar_links(in_parts(met, spark, MOST_SETS).join(sets, "node")), spark)
+        sets = materialize(near.select("row", "text").mapInArrow(shingled, "node long, fp binary, hashes binary"), spark, rows=TEXT_ROWS)
+        edges = materialize(_similar_links(in_parts(met, spark, MOST_SETS).join(sets, "node")), spark, rows=TEXT_ROWS)
         found = groups(distinct.drop("keys"), edges, spark, ["k0", "k1"])
     return fps.join(found, ["k0", "k1"]).select("row", "doc_id", "root", "component_id")
 

@@ -422,3 +422,17 @@ def test_pipeline_runs_all_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
     assert out and ids <= {r.doc_id for r in some} and max(Counter(r.doc_id for r in out).values()) <= 3
+
+
+def test_workers_drop_what_other_operators_kept(spark):
+    """A language stage finds nothing of the pieces' memory in a worker, and gets small batches of texts."""
+    from cloakwork.llm import common
+
+    mine = common.memory("pieces")
+    mine["x"] = 1
+    assert common.memory("pieces") is mine and mine == {"x": 1}
+    assert common.memory("langid") == {} and mine == {} and "pieces" not in common._MEMORY
+    docs = spark.createDataFrame([(i, "the cat and dog" if i % 2 else "el gato y perro", "en" if i % 2 else "es") for i in range(3000)], "doc_id long, text string, lang string").coalesce(1)
+    langid.train(docs)
+    most = docs.select("text").mapInArrow(lambda batches: (b.select([]).from_arrays([[b.num_rows]], ["n"]) for b in batches), "n long").agg({"n": "max"}).first()[0]
+    assert most <= common.TEXT_ROWS
