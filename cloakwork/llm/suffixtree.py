@@ -37,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, table
+from .common import TEXT_ROWS, discard, materialize, slices, table
 from .langid import held_out
 
 SYMBOLS, BITS, DEPTH = 64, 6, 4
 GAIN, LEAST_COUNT = 2.0, 2
 #: Bytes of the texts that share their look-ups in the tree.
 CHUNK = 32 << 20
+#: Bytes of the texts whose symbols are laid out at a time: their arrays take some sixty times as many.
+STEP = 1 << 20
 HOT_WORDS = 1 << 17
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
@@ -140,7 +142,7 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[first], np.add.reduceat(n, first)
 
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", STEP):
         chunk, held = np.asarray(batch.column(2)), np.asarray(batch.column(0))
         for lo, hi in _runs(chunk):
             if now != chunk[lo] and grams:
@@ -160,7 +162,7 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                         words.update(t)
                     words[b""] += len(chosen)
                     seen += np.bincount(data, minlength=256)
-            if len(grams) >= 8:
+            if len(grams) >= 32:
                 grams = [merged()]
         if len(words) > HELD_WORDS:
             yield rows("word", [w.decode() for w in words], list(words.values()))
@@ -244,8 +246,8 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
     depth = depth_for(docs.where(training).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", (~training).alias("held_out"), "text").mapInArrow(_chunks, f"doc_id {kind}, held_out boolean, text string, chunk long")
-    texts = materialize(texts, spark)
-    learned = materialize(texts.select("held_out", "text", "chunk").mapInArrow(_counter(depth), "word string, gram long, chunk long, n long"), spark)
+    texts = materialize(texts, spark, rows=TEXT_ROWS)
+    learned = materialize(texts.select("held_out", "text", "chunk").mapInArrow(_counter(depth), "word string, gram long, chunk long, n long"), spark, rows=TEXT_ROWS)
     counts = materialize(learned.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), spark)
     tokens, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     level = _level(counts, F.col("n"), HOT_WORDS)
@@ -276,12 +278,12 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
                 for lo, hi in _runs(np.asarray(batch.column(3)), is_text):
                     part = batch.slice(lo, hi - lo)
                     if not is_text[lo]:
-                        parts.append((np.asarray(part.column(5)), np.asarray(part.column(6))))
+                        parts.append((np.array(part.column(5)), np.array(part.column(6))))  # copies: the batch goes
                         continue
                     if parts:  # a chunk's look-ups come before its texts
                         keys, logp = (np.concatenate(c) for c in zip(*parts, strict=True))
                         parts = []
-                    yield from slices(iter([part]), "text", 2 << 20)
+                    yield from slices(iter([part]), "text", STEP)
 
         for batch in pieces():
             texts = [canonical(t) for t in batch.column(2).to_pylist()]
@@ -312,7 +314,7 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
             )
 
     rows = dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<string>, times array<int>")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), spark)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), spark, rows=TEXT_ROWS)
     for x in (texts, learned, tree):
         discard(x, spark)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

@@ -436,3 +436,21 @@ def test_workers_drop_what_other_operators_kept(spark):
     langid.train(docs)
     most = docs.select("text").mapInArrow(lambda batches: (b.select([]).from_arrays([[b.num_rows]], ["n"]) for b in batches), "n long").agg({"n": "max"}).first()[0]
     assert most <= common.TEXT_ROWS
+
+
+def test_symbols_are_counted_in_small_steps(monkeypatch):
+    """Texts of 3 MB are laid out a step at a time, and the counts are those of all at once."""
+    import pyarrow as pa
+
+    texts = [f"{i} " + "some words here. " * 2000 for i in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 5 == 0 for i in range(90)]), pa.array(texts), pa.array([7] * 90, pa.int64())], ["held_out", "text", "chunk"])
+    stream, most = suffixtree._stream, []
+    monkeypatch.setattr(suffixtree, "_stream", lambda chosen, depth: most.append(sum(len(w) for t in chosen for w in t)) or stream(chosen, depth))
+
+    def counts():
+        return sorted(r for b in suffixtree._count(iter([batch]), 4) for r in zip(*(c.to_pylist() for c in b.columns)) if r[1] is not None)
+
+    small = counts()
+    assert len(most) > 2 and max(most) <= suffixtree.STEP == 1 << 20
+    monkeypatch.setattr(suffixtree, "STEP", 1 << 24)
+    assert small == counts()
