@@ -47,6 +47,13 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system, which else sees it as taken."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What operators keep in a Python worker from task to task.
 _MEMORY: dict[str, dict] = {}
 
@@ -58,9 +65,7 @@ def memory(owner: str) -> dict:
         _MEMORY.pop(k).clear()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # glibc alone
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return _MEMORY.setdefault(owner, {})
 
 

@@ -30,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, discard, materialize, slices, table
+from .common import ROWS, TEXT_ROWS, discard, give_back, materialize, slices, table
 from .langid import held_out
 
 SYMBOLS, BITS, DEPTH = 64, 6, 4
@@ -116,6 +117,16 @@ def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts, of two such. Takes little beyond its result; the larger's counts are written over."""
+    (keys, n), (more, more_n) = sorted((a, b), key=lambda x: -len(x[0]))
+    at = np.searchsorted(keys, more)
+    old = keys[np.minimum(at, len(keys) - 1)] == more
+    n[at[old]] += more_n[old]
+    at = at[~old]
+    return np.insert(keys, at, more[~old]), np.insert(n, at, more_n[~old])
+
+
 def _counter(depth: int):
     return lambda batches: _count(batches, depth)
 
@@ -126,28 +137,42 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     Gram -1 - b counts byte b; grams of held-out texts alone have n 0. The word of the end is empty.
     """
     words: Counter[bytes] = Counter()
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    grams: list[tuple[np.ndarray, np.ndarray]] = []  # each over twice as long as the next
     seen = np.zeros(256, np.int64)
     now = None
 
-    def rows(kind: str, keys, n) -> pa.RecordBatch:
-        a = pa.array(keys, pa.string()) if kind == "word" else pa.nulls(len(n), pa.string())
-        b = pa.array(keys, pa.int64()) if kind == "gram" else pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([a, b, pa.array([now] * len(n), pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "chunk", "n"])
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([g for g, _ in grams])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], np.concatenate([n for _, n in grams])[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[first], np.add.reduceat(n, first)
+    def rows(word, gram, n) -> pa.RecordBatch:
+        a = pa.nulls(len(n), pa.string()) if word is None else pa.array(word, pa.string())
+        b = pa.nulls(len(n), pa.int64()) if gram is None else pa.array(gram, pa.int64())
+        return pa.RecordBatch.from_arrays([a, b, pa.nulls(len(n), pa.int64()) if now is None else pa.array(np.full(len(n), now), pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "chunk", "n"])
+
+    def add(part: tuple[np.ndarray, np.ndarray]) -> None:
+        """Merges the part with those before it that are not over twice as long."""
+        while grams and len(grams[-1][0]) <= 2 * len(part[0]):
+            part = _merged(grams.pop(), part)
+        grams.append(part)
+
+    def gram_rows() -> Iterator[pa.RecordBatch]:
+        """All grams, in batches of ROWS; a large one would be held whole here and in the JVM."""
+        while len(grams) > 1:
+            grams.append(_merged(grams.pop(), grams.pop()))
+        for keys, n in grams:
+            for lo in range(0, len(keys), ROWS):
+                yield rows(None, keys[lo : lo + ROWS], n[lo : lo + ROWS])
+        grams.clear()
+        give_back()
+
+    def word_rows() -> Iterator[pa.RecordBatch]:
+        items = iter(words.items())
+        while some := list(islice(items, ROWS)):
+            yield rows([w.decode() for w, _ in some], None, [n for _, n in some])
+        words.clear()
 
     for batch in slices(batches, "text", STEP):
         chunk, held = np.asarray(batch.column(2)), np.asarray(batch.column(0))
         for lo, hi in _runs(chunk):
-            if now != chunk[lo] and grams:
-                yield rows("gram", *merged())
-                grams = []
+            if now != chunk[lo]:
+                yield from gram_rows()
             now = int(chunk[lo])
             texts = [canonical(t) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
             for learn in (True, False):
@@ -156,23 +181,18 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                     continue
                 code, data, _ = _stream(chosen, depth)
                 found, n = np.unique(code, return_counts=True)
-                grams.append((found, n * learn))
+                add((found, n * learn))
                 if learn:
                     for t in chosen:
                         words.update(t)
                     words[b""] += len(chosen)
                     seen += np.bincount(data, minlength=256)
-            if len(grams) >= 32:
-                grams = [merged()]
         if len(words) > HELD_WORDS:
-            yield rows("word", [w.decode() for w in words], list(words.values()))
-            words = Counter()
-    if words:
-        yield rows("word", [w.decode() for w in words], list(words.values()))
-    if grams:
-        yield rows("gram", *merged())
+            yield from word_rows()
+    yield from word_rows()
+    yield from gram_rows()
     if seen.any():
-        yield rows("gram", -1 - np.arange(256), seen)
+        yield rows(None, -1 - np.arange(256), seen)
 
 
 def _level(table_: DataFrame, value: Column, most: int) -> float:
@@ -278,11 +298,14 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
                 for lo, hi in _runs(np.asarray(batch.column(3)), is_text):
                     part = batch.slice(lo, hi - lo)
                     if not is_text[lo]:
+                        keys = logp = None  # the chunk before is through
                         parts.append((np.array(part.column(5)), np.array(part.column(6))))  # copies: the batch goes
                         continue
                     if parts:  # a chunk's look-ups come before its texts
-                        keys, logp = (np.concatenate(c) for c in zip(*parts, strict=True))
+                        some, more = zip(*parts, strict=True)
                         parts = []
+                        keys, some = np.concatenate(some), None
+                        logp, more = np.concatenate(more), None
                     yield from slices(iter([part]), "text", STEP)
 
         for batch in pieces():

@@ -454,3 +454,33 @@ def test_symbols_are_counted_in_small_steps(monkeypatch):
     assert len(most) > 2 and max(most) <= suffixtree.STEP == 1 << 20
     monkeypatch.setattr(suffixtree, "STEP", 1 << 24)
     assert small == counts()
+
+
+def test_count_holds_distinct_grams_alone(monkeypatch):
+    """Counting a chunk takes memory by its distinct symbol runs, not by its text, and hands them on in batches of ROWS."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from cloakwork.llm import common
+
+    monkeypatch.setattr(suffixtree, "STEP", 1 << 18)
+    r = np.random.default_rng(7)
+    texts = [bytes(r.integers(97, 123, 1 << 18).astype(np.uint8)).decode() for _ in range(2)]
+
+    def counted(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([False, True] * n), pa.array(texts * n), pa.array([4] * (2 * n))], ["held_out", "text", "chunk"])
+        tracemalloc.start()
+        grams, most = Counter(), 0
+        for b in suffixtree._count(iter([batch]), 5):
+            most = max(most, b.num_rows)
+            grams.update(dict(zip(*(c.drop_null().to_pylist() for c in (b.column(1), b.column(3))))) if b.column(0).null_count else {})
+            assert set(b.column(2).to_pylist()) == {4}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return grams, most, peak
+
+    (once, most, low), (often, _, high) = counted(1), counted(15)
+    assert most <= common.ROWS and len(once) > 100_000
+    assert often == Counter({g: 15 * n for g, n in once.items()}) and set(once.values()) >= {0, 1}
+    assert high < 1.5 * low, (low, high)
