@@ -253,7 +253,7 @@ def byte_shares(seen: dict[int, int]) -> np.ndarray:
 
 @dataclass
 class WordCounts:
-    hot: dict[str, int]
+    hot: dict[bytes, int]
     tokens: int
     distinct: int
 
@@ -271,7 +271,7 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
     counts = materialize(learned.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), spark)
     tokens, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     level = _level(counts, F.col("n"), HOT_WORDS)
-    hot = {r[0]: r[1] for r in counts.where(F.col("n") >= level).collect()}  # HOT_WORDS at most
+    hot = {r[0].encode(): r[1] for r in counts.where(F.col("n") >= level).collect()}  # HOT_WORDS at most
     seen = {-1 - r[0]: r[1] for r in learned.where("gram < 0").groupBy("gram").agg(F.sum("n")).collect()}
     grams = learned.where("gram >= 0")
     tree = grow(grams.select("gram", "n"), spark, depth)
@@ -283,8 +283,8 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, byte_logp = shared.value
-        known = {w.encode(): (n, model.log(n)) for w, n in model.hot.items()}
-        end_n, end_log = known.get(b"", (0, model.log(0)))
+        logs = {n: model.log(n) for n in {0, *model.hot.values()}}
+        end_n = model.hot.get(b"", 0)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         keys = logp = None
 
@@ -306,7 +306,7 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
                         parts = []
                         keys, some = np.concatenate(some), None
                         logp, more = np.concatenate(more), None
-                    yield from slices(iter([part]), "text", STEP)
+                    yield from slices(iter([part]), "text", STEP // 4)  # beside the words and the look-ups
 
         for batch in pieces():
             texts = [canonical(t) for t in batch.column(2).to_pylist()]
@@ -319,10 +319,10 @@ def score_texts(docs: DataFrame, training: Column, spark: SparkSession) -> DataF
             scores = np.add.reduceat(logp[at].astype(np.float64) + byte_logp[data], np.concatenate(([0], ends[:-1])))
             base, sure, rare, times, cuts = [], [], [], [], [0]
             for words in texts:
-                total, n = end_log, int(end_n > 0)
+                total, n = logs[end_n], int(end_n > 0)
                 for w, k in Counter(words).items():
-                    if (got := known.get(w)) is not None:
-                        total += k * got[1]
+                    if (got := model.hot.get(w)) is not None:
+                        total += k * logs[got]
                         n += k
                     else:
                         rare.append(w)
