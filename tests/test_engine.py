@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.functions import checks
-from cloakwork.operators import calibration, evaluation, fusion, rewriting, routing
+from cloakwork.operators import calibration, evaluation, fusion, rewriting, routing, rules
 from cloakwork.operators import spans as sp
 from cloakwork.operators.review import ReviewQueue
 from cloakwork.plans.pipeline import Config, Pipeline, language
@@ -171,3 +171,28 @@ def test_every_rule_scans_the_documents(spark):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text rlike '[0-9]{1,3}(\\\\.[0-9]{1,3}){3}'").count()
     assert n and catalog.QUERIES["scan_documents_ipv4"](spark, sf_dir).select("doc_id").distinct().count() <= n
     assert catalog.QUERIES["scan_documents_phone_us"](spark, sf_dir).columns == ["doc_id", "start_at", "value"]
+
+
+PIECES = [
+    "Nombre: Ana López", "EMAIL: Ana.Gil@Example.com", "IP 10.2.3.4", "tarjeta 4111 1111 1111 1111", "card 4111 1111 1111 1112", "IBAN ES91 2100 0418 4502 0005 1332", "IBAN ES91 2100 0418 4502 0005 1333",
+    "DNI 12345678Z", "12345678A", "NIF A58818501", "20-12345678-6", "SSN 123-45-6789", "666-45-6789", "Passport no. X1234567", "Password: pw-0123", "usuario: ſan_ıto", "Fecha de nacimiento: 01/02/1980", "born 3 May 2021",
+    "2024-01-15", "Código postal: 28001", "CVV: 123", "MAC 0a:1B:2c:3D:4e:5F", "Cuenta corriente: 0123 4567 89", "+34 612 34 56 78", "tel. (212) 555-0100", "fax: 0551234567", "Dr. José Ñandú", "12 Oak Tree Street, Apt. 4",
+    "Calle Mayor 5, piso 2", "2001:db8:0:0:0:0:0:1", "sk-ABCDEFGHIJKLMNOP1234", "@ann_reed", "driver license: D-12345", "STRAßE İKKe 5551234567", "CLIENTE: ÁLVARO DÍAZ", "(\"x\")", "\n", "\t", " ", ", ", ". ", "ª", "9",
+]
+
+
+def test_rule_loop_finds_what_the_expressions_find(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(PIECES) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(14))), rng.choice(["es", "en", "fr", None])) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None, "es"), (301, "\n".join(PIECES), "es"), (302, "\n".join(PIECES), "en")], "doc_id long, text string, lang string")
+    loop, expressions = ({r.doc_id: r.found for r in f(docs).collect()} for f in (rules.detect, rules.detect_in_expressions))
+    assert loop == expressions
+    assert {r.rule for found in loop.values() for r in found} == set(rules.BY_NAME) and any(e.suppressed for e in loop[301])
+
+
+def test_rules_take_one_pass_in_python(spark):
+    docs = spark.createDataFrame([(1, "a@b.com", "es")], "doc_id long, text string, lang string")
+    plan = rules.detect(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
