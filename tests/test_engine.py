@@ -196,3 +196,29 @@ def test_rules_take_one_pass_in_python(spark):
     docs = spark.createDataFrame([(1, "a@b.com", "es")], "doc_id long, text string, lang string")
     plan = rules.detect(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_document_loop_says_what_the_expressions_say(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice(PIECES) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(14))), rng.choice(["es", "en", "fr", None])) for i in range(150)]
+    every = "\n".join(PIECES)
+    docs = spark.createDataFrame([*rows, (150, None, "es"), (151, every + "\nAna López; xAna López, ana.gil@example.com. Ana.Gil@Example.com", "es"), (152, every + every, "en")], "doc_id long, text string, lang string")
+    for mode in ("mask", "partial", "pseudonymize"):
+        p = Pipeline(Config(mode=mode))
+        loop, expressions = ({r.doc_id: r for r in f(docs).collect()} for f in (p.transform, p.transform_in_expressions))
+        assert loop.keys() == expressions.keys()
+        for i, r in loop.items():
+            assert r.asDict(True) == expressions[i].asDict(True)
+        assert any(x.source_start > len(every) for x in loop[151].replacements)
+
+
+def test_audit_reads_its_documents_once(spark, tmp_path):
+    from cloakwork.plans import catalog
+
+    spark.createDataFrame([(k, k % 25) for k in range(1, 9)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    out = catalog.QUERIES["pipeline_audit"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert out.count() == 8 and out.where("n_decisions > 0").count() == 8
