@@ -44,11 +44,16 @@ def aligned(docs: DataFrame, mode: str = "exact", least: float = 0.5) -> DataFra
     return both.withColumn("taken", match(F.col("gold"), F.col("pred"), mode, least))
 
 
-def outcomes(found: DataFrame, *keys: str) -> DataFrame:
-    """From `aligned`: a row (type, outcome) for each true positive, miss and false alarm."""
+def _outcomes() -> Column:
+    """From `aligned`: (type, outcome) of each true positive, miss and false alarm."""
     gold = F.transform("gold", lambda g, i: F.struct(g["type"].alias("type"), F.when(F.get(F.col("taken"), i) >= 0, "tp").otherwise("fn").alias("outcome")))
     extra = F.filter(F.transform("pred", lambda p, i: F.when(~F.array_contains("taken", i), F.struct(p["type"].alias("type"), F.lit("fp").alias("outcome")))), lambda x: x.isNotNull())
-    return found.select(*keys, F.explode(F.concat(gold, extra)).alias("o")).select(*keys, "o.type", "o.outcome")
+    return F.concat(gold, extra)
+
+
+def outcomes(found: DataFrame, *keys: str) -> DataFrame:
+    """From `aligned`: a row (type, outcome) for each true positive, miss and false alarm."""
+    return found.select(*keys, F.explode(_outcomes()).alias("o")).select(*keys, "o.type", "o.outcome")
 
 
 def by_type(found: DataFrame, *keys: str) -> DataFrame:
@@ -92,12 +97,31 @@ def characters(found: DataFrame) -> DataFrame:
     return rows.withColumn("leaked_chars", F.col("gold_chars") - F.col("covered_chars")).withColumn("other_chars", F.greatest(F.lit(0), length - F.col("gold_chars"))).withColumn("over_chars", _size(F.col("_p")) - F.col("covered_chars")).withColumn("n_entities", F.size("gold")).withColumn("n_leaked_entities", part).drop("_g", "_p")
 
 
+CHARACTERS = ("gold_chars", "covered_chars", "leaked_chars", "other_chars", "over_chars", "n_entities", "n_leaked_entities")
+
+
+def _rates() -> list[Column]:
+    return [
+        ratio(F.col("leaked_chars"), F.col("gold_chars")).alias("char_leakage_rate"), ratio(F.col("n_leaked_entities"), F.col("n_entities")).alias("entity_leakage_rate"),
+        ratio(F.col("covered_chars"), F.col("gold_chars")).alias("char_coverage"), ratio(F.col("over_chars"), F.col("other_chars"), 6).alias("over_redaction_rate"),
+    ]
+
+
 def privacy(found: DataFrame, *keys: str) -> DataFrame:
-    c = characters(found).groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("gold_chars", "covered_chars", "leaked_chars", "other_chars", "over_chars", "n_entities", "n_leaked_entities")])
-    return c.select(
-        *keys, ratio(F.col("leaked_chars"), F.col("gold_chars")).alias("char_leakage_rate"), ratio(F.col("n_leaked_entities"), F.col("n_entities")).alias("entity_leakage_rate"),
-        ratio(F.col("covered_chars"), F.col("gold_chars")).alias("char_coverage"), ratio(F.col("over_chars"), F.col("other_chars"), 6).alias("over_redaction_rate"), "n_entities", "n_leaked_entities",
-    )
+    c = characters(found).groupBy(*keys).agg(*[F.sum(x).alias(x) for x in CHARACTERS])
+    return c.select(*keys, *_rates(), "n_entities", "n_leaked_entities")
+
+
+def figures(found: DataFrame, *keys: str) -> DataFrame:
+    """`overall` and `privacy` side by side, for keys with any outcome, from one pass over the documents."""
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.lit("all").alias("outcome")))
+    rows = characters(found).select(*keys, *CHARACTERS, F.explode(F.concat(_outcomes(), whole)).alias("o"))
+    is_whole = F.col("o.outcome") == "all"
+    sums = rows.groupBy(*keys, is_whole.alias("_whole"), F.col("o.type").alias("_type")).agg(*[F.count_if(F.col("o.outcome") == o).alias(o) for o in ("tp", "fp", "fn")], *[F.sum(F.when(is_whole, F.col(x))).alias(x) for x in CHARACTERS])
+    by_kind = sums.select("*", *precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
+    macro = [F.round(F.avg(F.when(~F.col("_whole"), F.col(c))), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    all_ = by_kind.groupBy(*keys).agg(F.count_if(~F.col("_whole")).alias("_kinds"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *macro, *[F.sum(c).alias(c) for c in CHARACTERS])
+    return all_.where("_kinds > 0").select(*keys, *precision_recall(F.col("tp"), F.col("fp"), F.col("fn")), "tp", "fp", "fn", "macro_precision", "macro_recall", "macro_f1", *_rates(), "n_entities", "n_leaked_entities")
 
 
 def samples(docs: DataFrame, least: float = 0.5) -> DataFrame:

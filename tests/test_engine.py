@@ -222,3 +222,20 @@ def test_audit_reads_its_documents_once(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
     assert out.count() == 8 and out.where("n_decisions > 0").count() == 8
+
+
+def test_systems_share_one_detection_and_figures_one_pass(spark):
+    from cloakwork.plans import catalog
+    from cloakwork.plans.pipeline import compare_systems, systems
+
+    span = "array<struct<start:int,end:int,type:string,score:double,group:string>>"
+    rows = [(1, "Nombre: Ana Lopez, a@b.com", "es", [(8, 17, "PERSON", 1.0, "g"), (19, 26, "EMAIL", 1.0, "g")]), (2, "Full name: Ann Reed", "en", [(0, 4, "PHONE", 1.0, "g")]), (3, "nothing", "en", [])]
+    gold = spark.createDataFrame(rows, f"doc_id long, text string, lang string, gold {span}")
+    ladder = systems({"ner": catalog._stub})
+    out = compare_systems(gold, ladder, "partial")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.system: r for r in out.collect()}
+    assert got.keys() == ladder.keys()
+    for name, run in ladder.items():
+        found = evaluation.aligned(run(gold), "partial").withColumn("system", F.lit(name))
+        assert got[name] == evaluation.overall(found, "system").join(evaluation.privacy(found, "system"), "system").first()
