@@ -239,3 +239,12 @@ def test_systems_share_one_detection_and_figures_one_pass(spark):
     for name, run in ladder.items():
         found = evaluation.aligned(run(gold), "partial").withColumn("system", F.lit(name))
         assert got[name] == evaluation.overall(found, "system").join(evaluation.privacy(found, "system"), "system").first()
+
+
+def test_labels_are_trimmed_once_each(spark):
+    from cloakwork.functions.taxonomy import CORPUS_LABELS, map_label
+
+    labels = [*CORPUS_LABELS, *(f" {k.lower()} " for k in CORPUS_LABELS), "NOPE", "", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string")
+    assert [r.k for r in rows.select(map_label(F.col("label")).alias("k")).collect()] == [CORPUS_LABELS.get((x or "").strip().upper()) for x in labels]
+    assert rows.select(map_label(F.col("label")).alias("k"))._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
